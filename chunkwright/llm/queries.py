@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chunkwright.llm import bpe, chat
+from chunkwright.llm import bpe, chat, secrets, shard
 from chunkwright.runtime import read_table
 
 #: Where the public vocabulary files are; the environment may name another folder.
@@ -54,5 +55,20 @@ SELECT conv_id, count(*) AS n_turns,
 FROM m GROUP BY conv_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_chat_fsm": op6_chat_fsm, "op10_bpe_tree": op10_bpe_tree}
+
+def op7_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard.shard_documents(read_table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_secret_lexer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_chat_fsm": op6_chat_fsm,
+    "op7_lpt_shards": op7_lpt_shards,
+    "op9_secret_lexer": op9_secret_lexer,
+    "op10_bpe_tree": op10_bpe_tree,
+}
 ORACLES: dict[str, str] = {"op6_chat_fsm": OP6_SQL}
