@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwright.llm import bpe, chat, langid, secrets, shard
+from chunkwright.llm import bpe, chat, langid, secrets, shard, warc
 from chunkwright.runtime import read_table
 
 #: Where the public vocabulary files are; the environment may name another folder.
@@ -67,6 +67,23 @@ def op7_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+OP8_SQL = """
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), n AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN newest END AS refers_to
+FROM n
+"""
+
+
 def op9_secret_lexer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
@@ -75,7 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_tree": op2_language_tree,
     "op6_chat_fsm": op6_chat_fsm,
     "op7_lpt_shards": op7_lpt_shards,
+    "op8_zip_warc": op8_zip_warc,
     "op9_secret_lexer": op9_secret_lexer,
     "op10_bpe_tree": op10_bpe_tree,
 }
-ORACLES: dict[str, str] = {"op6_chat_fsm": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_chat_fsm": OP6_SQL, "op8_zip_warc": OP8_SQL}
