@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwright.llm import bpe, chat, langid, secrets, shard, warc
+from chunkwright.llm import bpe, chat, langid, minhash, secrets, shard, warc
 from chunkwright.runtime import read_table
 
 #: Where the public vocabulary files are; the environment may name another folder.
@@ -29,6 +29,26 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op1_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS MATERIALIZED (
+    SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+           ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingles FROM w
+), e AS MATERIALIZED (SELECT doc_id, unnest(shingles) AS h FROM s),
+n AS MATERIALIZED (SELECT doc_id, len(shingles)::BIGINT AS n FROM s),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM e x JOIN e y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM i JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id, n.doc_id = m.c AS kept
+FROM n JOIN (SELECT doc_id, min(reached) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
+
 def op2_language_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out()))
@@ -89,6 +109,7 @@ def op9_secret_lexer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_components": op1_minhash_components,
     "op2_language_tree": op2_language_tree,
     "op6_chat_fsm": op6_chat_fsm,
     "op7_lpt_shards": op7_lpt_shards,
@@ -96,4 +117,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_lexer": op9_secret_lexer,
     "op10_bpe_tree": op10_bpe_tree,
 }
-ORACLES: dict[str, str] = {"op6_chat_fsm": OP6_SQL, "op8_zip_warc": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_minhash_components": OP1_SQL, "op6_chat_fsm": OP6_SQL, "op8_zip_warc": OP8_SQL}
