@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwright.llm import bpe, chat, langid, minhash, secrets, shard, warc
+from chunkwright.llm import bpe, chat, decontam, langid, minhash, secrets, shard, warc
 from chunkwright.runtime import read_table
 
 #: Where the public vocabulary files are; the environment may name another folder.
@@ -55,6 +55,31 @@ def op2_language_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), width=10)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP3_SQL = r"""
+WITH d AS MATERIALIZED (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+    SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), v AS MATERIALIZED (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS gram
+    FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)
+), g AS (
+    SELECT doc_id, s.size, i, array_to_string(w[i:i + s.size - 1], ' ') AS gram
+    FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM v)) s
+), h AS MATERIALIZED (SELECT doc_id, i, g.size, item_id FROM g JOIN v ON g.gram = v.gram AND g.size = v.size),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(t.items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def op6_chat_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
@@ -111,10 +136,11 @@ def op9_secret_lexer(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_components": op1_minhash_components,
     "op2_language_tree": op2_language_tree,
+    "op3_positional_index": op3_positional_index,
     "op6_chat_fsm": op6_chat_fsm,
     "op7_lpt_shards": op7_lpt_shards,
     "op8_zip_warc": op8_zip_warc,
     "op9_secret_lexer": op9_secret_lexer,
     "op10_bpe_tree": op10_bpe_tree,
 }
-ORACLES: dict[str, str] = {"op1_minhash_components": OP1_SQL, "op6_chat_fsm": OP6_SQL, "op8_zip_warc": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_minhash_components": OP1_SQL, "op3_positional_index": OP3_SQL, "op6_chat_fsm": OP6_SQL, "op8_zip_warc": OP8_SQL}
