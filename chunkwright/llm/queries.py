@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwright.llm import ann, bpe, chat, decontam, langid, minhash, secrets, shard, warc
+from chunkwright.llm import ann, bpe, chat, decontam, langid, minhash, secrets, shard, substring, warc
 from chunkwright.runtime import read_table
 
 #: Where the public vocabulary files are; the environment may name another folder.
@@ -80,6 +80,10 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(read_table(spark, sf_dir, "documents"))
+
+
 def op5_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"), 20)
@@ -142,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_components": op1_minhash_components,
     "op2_language_tree": op2_language_tree,
     "op3_positional_index": op3_positional_index,
+    "op4_compact_windows": op4_compact_windows,
     "op5_hilbert_neighbours": op5_hilbert_neighbours,
     "op6_chat_fsm": op6_chat_fsm,
     "op7_lpt_shards": op7_lpt_shards,
