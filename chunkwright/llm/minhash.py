@@ -20,8 +20,9 @@ of 1.3e-7, and fails the agreement test with less than 1e-6.
 Defined cases: null text and text without words have the empty set, link with
 nothing and are kept; fewer words than a shingle's make one shingle; equal sets are
 one node; rows that repeat an id get equal results; an id that comes with
-different texts links through the texts of which it is the smallest id; an empty
-table gives no rows.  Extra columns aren't read.
+different texts links through the texts of which it is the smallest id; rows
+without an id link with nothing and are kept; an empty table gives no rows.
+Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     ship(docs.sparkSession)
     rows = stage(sketch(docs, width, id_col, text_col), "minhash-sketch")
-    firsts = stage(rows.where("n > 0").groupBy("sid").agg(F.min("doc").alias("node")), "minhash-nodes")
+    firsts = stage(rows.where("n > 0 and doc is not null").groupBy("sid").agg(F.min("doc").alias("node")), "minhash-nodes")
     own = (F.col("doc") == F.col("node")) & (F.col("n") > 0)
     nodes = rows.join(firsts, "sid").where(own).select("node", "n", "sid", "bands", "sig")
     cells = nodes.select(F.explode("bands").alias("band"), "node", "n")
@@ -174,4 +175,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     members = rows.join(firsts, "sid", "left").select("doc", "n", "node")
     component = F.coalesce("component", "node", "doc")
     out = members.join(label, "node", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return out.withColumn("component_id", F.when(F.col(id_col).isNotNull(), F.col("component_id"))).withColumn("kept", F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id")))
