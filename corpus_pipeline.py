@@ -1,12 +1,71 @@
-"""A corpus pipeline out of the operators in ``chunkwright.llm``."""
+"""A corpus pipeline out of the operators in ``chunkwright.llm``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again as the next stage's docs.  All but the last keep the
+columns of ``documents`` (and any further ones).
+
+* language: documents whose language can't be told go (no letter, or a score below ``LEAST_SCORE``).
+* near_duplicates: of each group of near copies (five words, 0.8) the smallest id stays.
+* decontamination: documents that hold ten consecutive words of a benchmark item go.
+* secrets: spans of secrets are replaced by a mark; ``n_chars`` follows the text.
+* tokens: each document becomes its byte-level BPE ids, with digests of them and of the bytes they decode to.
+
+Null text ends in the language stage.  An empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chunkwright.llm import bpe, decontam, langid, minhash, queries, secrets
+from chunkwright.runtime import read_table, stage
+
+#: Scores of clean text are far above this, even for a single word.
+LEAST_SCORE = 0.25
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    marked = langid.predict(docs, langid.fit(docs), keep=docs.columns)
+    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(docs, width=5, percent=80)
+    gone = stage(found.where("not kept").select("doc_id").distinct(), "pipeline-copies")
+    again = stage(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeats")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    # Rows that repeat an id and its text are copies too.
+    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(repeated).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), width=10)
+    gone = stage(found.where("contaminated").select("doc_id").distinct(), "pipeline-contaminated")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact_documents(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_documents(docs, queries.tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secret_spans), ("tokens", tokens)]
 
-STAGES: list = []
+#: Linear classifiers and byte-level BPE aren't expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read_table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
