@@ -1,0 +1 @@
+"""Registered queries over arrays that are encoded from tables."""
