@@ -130,7 +130,9 @@ class ChunkedReader(DataSourceReader):
         parts = min(count, max(-(-count // each), int(self.options.get("min_partitions", 1))))
         return [ChunkRun(count * i // parts, count * (i + 1) // parts) for i in range(parts)]
 
-    def read(self, partition: ChunkRun) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ChunkRun | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark makes of a plan without partitions
+            return
         grid = indexing.chunk_box(self.box, self.meta.chunks)
         layout, handles = self.options.get("layout", "cells"), list(self.named.values())
         limit = int(self.options.get("memory_cache_bytes", 0))
