@@ -10,8 +10,8 @@ large-star and small-star.
 
 A bucket whose nodes all lie in one component needs no further pairs.  For the
 rest, growing random slices of a bucket's nodes are paired with its nodes of
-other components (1, 2, 4, ... nodes at a time) until the components agree or
-every node had its turn, so no pair that shares a bucket goes untested unless its
+other components (1, then SLICE_GROWTH times as many as before) until the
+components agree or every node had its turn, so no pair that shares a bucket goes untested unless its
 ends are connected already.
 
 With 40 bands of 5 a pair at similarity 0.8 shares no bucket with a probability
@@ -47,6 +47,8 @@ _COMBINE = _SEED.integers(1, 1 << 63, size=ROWS, dtype=np.uint64) | np.uint64(1)
 _BAND_SALT = _SEED.integers(1, 1 << 63, size=BANDS, dtype=np.uint64)
 #: Shingles that are hashed at once.
 _BLOCK = 2048
+#: How fast the slices of an unresolved bucket grow.
+SLICE_GROWTH = 15
 #: How many standard deviations of agreement below the threshold still pass to the exact count.
 SIGNATURE_SLACK = 5.0
 
@@ -134,6 +136,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int,
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
+def _unresolved(cells: DataFrame, label: DataFrame) -> tuple[DataFrame, int]:
+    """The cells of buckets that hold several components, with their component and bucket size; the largest of these sizes."""
+    marked = cells.join(label, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
+    mixed = marked.groupBy("band").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 2 and lo < hi").select("band", "size")
+    open_cells = stage(marked.join(mixed, "band"), "minhash-open")
+    return open_cells, open_cells.agg(F.max("size")).first()[0] or 0
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable over links), kept (id = component_id).
 
@@ -150,28 +160,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     cells = stage(cells.join(shared, "band").select("band", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "minhash-cells")
     sized = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     pairs = cells.where((F.col("node") > F.col("hub")) & sized(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    signatures = nodes.select("node", "sid", "sig")
-    links, label = None, None
-    turn = 0
-    while True:
-        agreeing = stage(_agreeing(pairs, signatures, percent / 100), "minhash-pairs")
-        found = _confirmed(agreeing, docs, signatures, width, percent, id_col, text_col)
-        links = found if links is None else links.unionByName(found)
-        label = components(links, "a", "b")
-        links = label.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a < b")
-        marked = cells.join(label, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-        mixed = marked.groupBy("band").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 2 and lo < hi").select("band", "size")
-        # From here only buckets that still hold several components; the slice of hubs doubles each turn.
-        open_cells = stage(marked.join(mixed, "band"), "minhash-open")
-        largest = open_cells.agg(F.max("size")).first()[0] or 0
-        if (1 << turn) - 1 >= 4 * largest:
-            break
+    # Only nodes that share a bucket are ever compared.
+    signatures = stage(nodes.select("node", "sid", "sig").join(cells.select("node").distinct(), "node", "left_semi"), "minhash-signatures")
+    confirm = lambda pairs: stage(_confirmed(pairs, docs, signatures, width, percent, id_col, text_col), "minhash-links")
+    label = components(confirm(stage(_agreeing(pairs, signatures, percent / 100), "minhash-pairs")), "a", "b")
+    open_cells, largest = _unresolved(cells, label)
+    done = 0  # places of each bucket whose nodes had their turn
+    while done < largest:
+        size = max(1, done * SLICE_GROWTH)
         place = F.pmod(F.xxhash64("node", F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("size")
-        # A node's place is uniform in [0, size); the last slice takes all that are left.
-        hubs = open_cells.where((place >= (1 << turn) - 1) & (place < (2 << turn) - 1)).select("band", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
+        hubs = open_cells.where((place >= done) & (place < done + size)).select("band", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
+        done += size
         tested = open_cells.join(hubs, "band").where((F.col("component") != F.col("hub_component")) & sized(F.col("n"), F.col("hub_n")))
         pairs = tested.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        turn += 1
+        agreeing = stage(_agreeing(pairs, signatures, percent / 100), "minhash-pairs")
+        if agreeing.isEmpty() or (found := confirm(agreeing)).isEmpty():
+            continue  # the components stay, and so do the open buckets
+        label = components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(found), "a", "b")
+        open_cells, largest = _unresolved(cells, label)
     members = rows.join(firsts, "sid", "left").select("doc", "n", "node")
     component = F.coalesce("component", "node", "doc")
     out = members.join(label, "node", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
