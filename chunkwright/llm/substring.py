@@ -14,8 +14,8 @@ half a passage to the left and to the right, which separates passages that share
 no more than a phrase (a passage that is long enough reaches one of the two).
 
 Pairs are verified on their shingles: from the common one, the passages grow to
-both sides while eight of nine shingles occur in the other text, and must then be
-long enough and 80 % similar as sets.  Verified spans that overlap within a text
+both sides while most shingles occur in the other text, and must then be long
+enough and 80 % similar as sets.  Verified spans that overlap within a text
 make a region; regions linked by verified pairs form a class.
 
 Texts that are equal as strings collapse before all this and are expanded again
@@ -44,8 +44,8 @@ from chunkwright.runtime import ship, stage
 HASHES = 4
 #: Least passage in words, and words of a shingle.
 LEAST_WORDS, WIDTH = 50, 5
-#: Least similarity of verified passages in per cent, and what a shingle weighs that the other text lacks.
-PERCENT, MISS = 80, 8
+#: Least similarity of verified passages in per cent, and what a shingle weighs that the other text lacks, in turn.
+PERCENT, MISS = 80, (5, 8, 24)
 _SALTS = np.random.default_rng(41).integers(1, 1 << 63, size=64, dtype=np.uint64)
 
 
@@ -95,33 +95,41 @@ def _windows(docs: DataFrame, least: int, width: int, hashes: int) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, doc bigint, c int, left int, right int, before bigint, after bigint")
 
 
-def _extent(present: np.ndarray, at: int) -> tuple[int, int]:
-    """The stretch around ``at`` with the most presence, an absence weighing ``MISS``; ends included."""
-    weights = np.where(present, 1, -MISS)
+def _extent(present: np.ndarray, at: int, miss: int) -> tuple[int, int]:
+    """The stretch around ``at`` with the most presence, an absence weighing ``miss``; the end is excluded."""
+    weights = np.where(present, 1, -miss)
     right = weights[at:].cumsum()
     left = weights[at::-1].cumsum()
-    return at - int(left.argmax()), at + int(right.argmax())
+    return at - int(left.argmax()), at + int(right.argmax()) + 1
+
+
+def _aligned(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int, int, int]:
+    """The run of equal shingles around a common one."""
+    n, m = min(len(a) - i, len(b) - j), min(i, j)
+    ahead, behind = a[i : i + n] != b[j : j + n], (a[i - m : i] != b[j - m : j])[::-1]
+    right = int(ahead.argmax()) if ahead.any() else n
+    left = int(behind.argmax()) if behind.any() else m
+    return i - left, i + right, j - left, j + right
 
 
 def verified(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], least: int, percent: int = PERCENT) -> list[tuple[int, int, int, int]]:
-    """(start, end, start, end) of common passages in shingles, ends excluded."""
+    """(start, end, start, end) of common passages in shingles, ends excluded.
+
+    Wide stretches are tried first, then ones that bear fewer absences, then equal runs.
+    """
     in_a, in_b = np.isin(a, b), np.isin(b, a)
     out: list[tuple[int, int, int, int]] = []
     for i, j in sorted(anchors):
-        if any(p <= i < q and s <= j < t for p, q, s, t in out[-4:]):
+        if a[i] != b[j] or any(p <= i < q and s <= j < t for p, q, s, t in out[-4:]):
             continue
-        (p, q), (s, t) = _extent(in_a, i), _extent(in_b, j)
-        for reach in (None, max(q - p, t - s), least):
-            if reach is not None:  # the whole stretches differ: try what stands around the anchor
-                p, q, s, t = max(p, i - reach), min(q, i + reach), max(s, j - reach), min(t, j + reach)
-                lead, trail = min(i - p, j - s), min(q - i, t - j)
-                p, q, s, t = i - lead, i + trail, j - lead, j + trail
-            if q - p + 1 < least or t - s + 1 < least:
-                break
-            x, y = np.unique(a[p : q + 1]), np.unique(b[s : t + 1])
+        for miss in (*MISS, None):
+            p, q, s, t = _aligned(a, b, i, j) if miss is None else (*_extent(in_a, i, miss), *_extent(in_b, j, miss))
+            if q - p < least or t - s < least:
+                continue
+            x, y = np.unique(a[p:q]), np.unique(b[s:t])
             shared = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * shared >= percent * (len(x) + len(y) - shared):
-                out.append((p, q + 1, s, t + 1))
+                out.append((p, q, s, t))
                 break
     return out
 
