@@ -26,8 +26,10 @@ LEAST_SCORE = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = langid.predict(docs, langid.fit(docs), keep=docs.columns)
-    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    # Further columns may have any name, so that none clashes with the prediction's.
+    plain = [f"_{i}" for i in range(len(docs.columns))]
+    marked = langid.predict(docs.toDF(*plain), langid.fit(docs), text_col=plain[docs.columns.index("text")], keep=plain)
+    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*plain).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
