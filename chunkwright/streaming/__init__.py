@@ -1,0 +1 @@
+"""Empty on purpose: the array model has no streams. Structured Streaming works on any DataFrame that reads an array."""
