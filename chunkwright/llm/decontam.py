@@ -31,6 +31,8 @@ _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands behind the last word of a row; no word can hold this character.
 _END = "\x00"
+#: Row numbers that are broadcast at most, eight bytes each.
+BROADCAST_ROWS = 1_000_000
 
 
 def lower_ascii(word: Column) -> Column:
@@ -93,21 +95,27 @@ def find_windows(index: Index, windows: DataFrame, slop: int = 0) -> DataFrame:
         .select("row", "window", "length", (F.col("pos") - F.col("offset")).alias("start"))
         .where("start >= 0" if not slop else f"start >= -{slop}")
     )
+    starts = stage(starts, "window-starts")
+    near = stage(index.postings.join(_few(starts.select("row").distinct()), "row", "left_semi"), "window-postings")
     for ranks in ("rank = 2", "rank > 2"):
-        starts = stage(starts, "window-starts")
         needed = starts.join(ranked.where(ranks), ["window", "length"])
         asked = needed.select("row", "window", "length", "start", "rank", "term", (F.col("start") + F.col("offset")).alias("pos"))
         if slop:
             asked = asked.withColumn("pos", F.explode(F.sequence(F.col("pos") - slop, F.col("pos") + slop)))
-        near = index.postings.join(starts.select("row").distinct(), "row", "left_semi")
         counted = asked.join(near, ["row", "term", "pos"]).groupBy("row", "window", "length", "start").agg(F.count_distinct("rank").alias("met") if slop else F.count("*").alias("met"))
         met = F.col("met") == (F.lit(1) if ranks == "rank = 2" else F.col("length") - 2)
         # A window of one term (or two) has nothing more to meet.
         short = "length < 2" if ranks == "rank = 2" else "length < 3"
-        starts = counted.where(met).select("row", "window", "length", "start").unionByName(starts.where(short))
+        starts = stage(counted.where(met).select("row", "window", "length", "start").unionByName(starts.where(short)), "window-starts")
     return starts
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Row numbers, marked for broadcast if they are few enough by count; else Spark shuffles both sides."""
+    rows = stage(rows, "window-rows")
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", slop: int = 0) -> DataFrame:
     """Per row: id, n_words, n_hit (words inside occurrences), n_items, items (sorted ids), contaminated."""
     by_item = stage(windows_of(items, width).withColumn("window", F.xxhash64("words")), "windows")
