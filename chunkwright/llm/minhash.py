@@ -8,11 +8,11 @@ with the others.  Pairs pass a size filter, the agreement of their minima, and
 last the exact count on full sets.  Components of the links come from alternating
 large-star and small-star.
 
-A bucket whose nodes all lie in one component needs no further pairs.  For the
-rest, growing random slices of a bucket's nodes are paired with its nodes of
-other components (1, then SLICE_GROWTH times as many as before) until the
-components agree or every node had its turn, so no pair that shares a bucket goes untested unless its
-ends are connected already.
+A bucket whose nodes all lie in one component needs no further pairs.  The rest
+are cut into blocks of about BLOCK_NODES nodes; a task takes two blocks of a bucket and
+counts, as a product of two matrices, what each node's full set shares with each
+other's.  Only links leave the task, so no pair that shares a bucket goes untested
+unless its ends are connected already, and no list of pairs is ever written.
 
 With 40 bands of 5 a pair at similarity 0.8 shares no bucket with a probability
 of 1.3e-7, and fails the agreement test with less than 1e-6.
@@ -47,8 +47,8 @@ _COMBINE = _SEED.integers(1, 1 << 63, size=ROWS, dtype=np.uint64) | np.uint64(1)
 _BAND_SALT = _SEED.integers(1, 1 << 63, size=BANDS, dtype=np.uint64)
 #: Shingles that are hashed at once.
 _BLOCK = 2048
-#: How fast the slices of an unresolved bucket grow.
-SLICE_GROWTH = 15
+#: Nodes of a block of an unresolved bucket, about, and set members that a task compares at once.
+BLOCK_NODES, COMPARED_MEMBERS = 400, 1 << 15
 #: How many standard deviations of agreement below the threshold still pass to the exact count.
 SIGNATURE_SLACK = 5.0
 
@@ -109,17 +109,26 @@ def _agreeing(pairs: DataFrame, signatures: DataFrame, similarity: float) -> Dat
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs that are similar on their full sets; only the texts of candidates are read again."""
+def _sets(wanted: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """node, shingles of the nodes in ``wanted`` (node, sid); only their texts are read again."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 256):
                 part = batch.slice(low, 256)
                 found = [shingle_set(v.as_py(), width) for v in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_id(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "sid", "shingles"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted.select("node"), "node", "left_semi")
+    # An id that repeats with another text is dropped here by its set's id.
+    full = texts.mapInArrow(run, "node bigint, sid binary, shingles binary").join(wanted, ["node", "sid"], "left_semi")
+    return stage(full.select("node", "shingles").dropDuplicates(["node"]), "minhash-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that are similar on their full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -128,20 +137,60 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int,
                 keep.append(100 * shared >= percent * (len(s) + len(t) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "sid"), "node")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted.select("node"), "node", "left_semi")
-    # An id that repeats with another text is dropped here by its set's id.
-    full = stage(texts.mapInArrow(sets, "node bigint, sid binary, shingles binary").join(wanted, ["node", "sid"], "left_semi").dropDuplicates(["node"]), "minhash-sets")
-    both = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return stage(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "minhash-links")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many members each set on the left has in common with each on the right, over slices of the members that both sides have."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    both = [np.concatenate(side) if side else np.zeros(0, np.uint64) for side in (left, right)]
+    known = np.intersect1d(*both)
+    owners = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    for low in range(0, len(known), COMPARED_MEMBERS):
+        part, planes = known[low : low + COMPARED_MEMBERS], []
+        for side, members, owner in zip((left, right), both, owners, strict=True):
+            at = np.minimum(np.searchsorted(part, members), len(part) - 1)
+            hit = part[at] == members
+            plane = np.zeros((len(side), len(part)), dtype=np.float32)
+            plane[owner[hit], at[hit]] = 1
+            planes.append(plane)
+        out += np.rint(planes[0] @ planes[1].T).astype(np.int64)
+    return out
 
 
-def _unresolved(cells: DataFrame, label: DataFrame) -> tuple[DataFrame, int]:
-    """The cells of buckets that hold several components, with their component and bucket size; the largest of these sizes."""
-    marked = cells.join(label, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
+def _linked_in_blocks(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside buckets; a bucket is cut into blocks, and a task compares two of them at a time.
+
+    Pairs are rows of a matrix in the task; only links leave it.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        block, i, j = (table.column(c).to_numpy() for c in ("block", "i", "j"))
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        sides = [np.flatnonzero(block == side[0]) for side in (i, j)]
+        shingles = table.column("shingles")
+        members = [[np.frombuffer(shingles[int(k)].as_buffer(), dtype=np.uint64) for k in side] for side in sides]
+        sizes = [np.array([len(s) for s in side], dtype=np.int64) for side in members]
+        shared = shared_counts(*members)
+        linked = 100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)
+        linked &= component[sides[0]][:, None] != component[sides[1]][None, :]
+        a, b = (node[side[at]] for side, at in zip(sides, np.nonzero(linked), strict=True))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    blocks = F.ceil(F.col("size") / BLOCK_NODES).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(29)).cast("long"), blocks).cast("int")
+    dealt = cells.withColumn("blocks", blocks).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    full = dealt.join(sets, "node")
+    return stage(full.groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct(), "minhash-links")
+
+
+def _unresolved(cells: DataFrame, label: DataFrame) -> DataFrame:
+    """The cells (band, node, component, size) of buckets of three and more nodes that hold several components."""
+    marked = cells.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     mixed = marked.groupBy("band").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 2 and lo < hi").select("band", "size")
-    open_cells = stage(marked.join(mixed, "band"), "minhash-open")
-    return open_cells, open_cells.agg(F.max("size")).first()[0] or 0
+    return stage(marked.join(mixed, "band"), "minhash-open")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,22 +211,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     pairs = cells.where((F.col("node") > F.col("hub")) & sized(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     # Only nodes that share a bucket are ever compared.
     signatures = stage(nodes.select("node", "sid", "sig").join(cells.select("node").distinct(), "node", "left_semi"), "minhash-signatures")
-    confirm = lambda pairs: stage(_confirmed(pairs, docs, signatures, width, percent, id_col, text_col), "minhash-links")
-    label = components(confirm(stage(_agreeing(pairs, signatures, percent / 100), "minhash-pairs")), "a", "b")
-    open_cells, largest = _unresolved(cells, label)
-    done = 0  # places of each bucket whose nodes had their turn
-    while done < largest:
-        size = max(1, done * SLICE_GROWTH)
-        place = F.pmod(F.xxhash64("node", F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("size")
-        hubs = open_cells.where((place >= done) & (place < done + size)).select("band", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-        done += size
-        tested = open_cells.join(hubs, "band").where((F.col("component") != F.col("hub_component")) & sized(F.col("n"), F.col("hub_n")))
-        pairs = tested.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        agreeing = stage(_agreeing(pairs, signatures, percent / 100), "minhash-pairs")
-        if agreeing.isEmpty() or (found := confirm(agreeing)).isEmpty():
-            continue  # the components stay, and so do the open buckets
-        label = components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(found), "a", "b")
-        open_cells, largest = _unresolved(cells, label)
+    agreeing = stage(_agreeing(pairs, signatures, percent / 100), "minhash-pairs")
+    wanted = agreeing.select(F.col("a").alias("node")).unionByName(agreeing.select(F.col("b").alias("node"))).distinct()
+    sets = _sets(signatures.select("node", "sid").join(wanted, "node", "left_semi"), docs, width, id_col, text_col)
+    label = components(_confirmed(agreeing, sets, percent), "a", "b")
+    mixed = _unresolved(cells, label)
+    if not mixed.isEmpty():
+        more = signatures.select("node", "sid").join(mixed.select("node").distinct(), "node", "left_semi")
+        found = _linked_in_blocks(mixed, _sets(more, docs, width, id_col, text_col), percent)
+        if not found.isEmpty():
+            label = components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(found), "a", "b")
     members = rows.join(firsts, "sid", "left").select("doc", "n", "node")
     component = F.coalesce("component", "node", "doc")
     out = members.join(label, "node", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
