@@ -40,8 +40,8 @@ from chunkwright.llm.components import components
 from chunkwright.llm.shingles import mix, shingle_hashes, word_hashes
 from chunkwright.runtime import ship, stage
 
-#: Hash functions. One finds each exact repeat; four miss a pair at similarity 0.8 with 0.2 ** 4.
-HASHES = 4
+#: Hash functions. One finds each exact repeat; three miss a pair at similarity 0.8 with 0.2 ** 3.
+HASHES = 3
 #: Least passage in words, and words of a shingle.
 LEAST_WORDS, WIDTH = 50, 5
 #: Least similarity of verified passages in per cent, and what a shingle weighs that the other text lacks, in turn.
@@ -68,7 +68,7 @@ def _tokens(text: str | None, width: int) -> np.ndarray:
 
 
 def _windows(docs: DataFrame, least: int, width: int, hashes: int) -> DataFrame:
-    """key (hash function and least hash), doc, c, left, right, and refined keys for each window."""
+    """key (hash function and least hash), doc, c, left, right, and the shingles half a passage to each side, for each window."""
     half = least // 2 - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,16 +83,14 @@ def _windows(docs: DataFrame, least: int, width: int, hashes: int) -> DataFrame:
                     for salt in _SALTS[:hashes]:
                         keys = mix(tokens ^ salt)
                         l, c, r = np.array(compact_windows(keys, least)).T
-                        value = keys[c] ^ salt
-                        before = mix(value + np.uint64(1) + tokens[np.maximum(c - half, 0)])
-                        after = mix(value + np.uint64(2) + tokens[np.minimum(c + half, len(tokens) - 1)])
-                        for i, column in enumerate((value, np.full(len(c), doc), c, c - l, r - c, before, after)):
+                        before, after = ((tokens[at] >> np.uint64(32)) for at in (np.maximum(c - half, 0), np.minimum(c + half, len(tokens) - 1)))
+                        for i, column in enumerate((keys[c] ^ salt, np.full(len(c), doc), c, c - l, r - c, before, after)):
                             found[i].append(column)
-                kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64)
+                kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int32)
                 columns = [pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind)) for x, kind in zip(found, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "c", "left", "right", "before", "after"])
 
-    return docs.mapInArrow(run, "key bigint, doc bigint, c int, left int, right int, before bigint, after bigint")
+    return docs.mapInArrow(run, "key bigint, doc bigint, c int, left int, right int, before int, after int")
 
 
 def _extent(present: np.ndarray, at: int, miss: int) -> tuple[int, int]:
@@ -179,7 +177,7 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, width: int = WIDTH
     windows = stage(_windows(own, least, width, hashes), "passage-windows")
     shared = windows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
     windows = windows.join(shared, "key")
-    keyed = stage(windows.select("doc", "c", "left", "right", F.explode(F.array("key", "before", "after")).alias("bucket")), "passage-buckets")
+    keyed = stage(windows.select("doc", "c", "left", "right", F.explode(F.array("key", F.xxhash64("key", "before", F.lit(1)), F.xxhash64("key", "after", F.lit(2)))).alias("bucket")), "passage-buckets")
     hubs = keyed.groupBy("bucket").agg(F.min(F.struct("doc", "c", "left", "right")).alias("hub"), F.max("doc").alias("hi")).where("hub.doc < hi").select("bucket", "hub")
     # The interval join: both windows hold a passage around the common shingle, up to the similarity's slack.
     room = F.least("left", "hub.left") + F.least("right", "hub.right") + 1
