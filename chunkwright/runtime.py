@@ -7,6 +7,7 @@ table into the folder that the cluster names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -15,6 +16,10 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Ids that are broadcast at most, eight bytes each.
+BROADCAST_IDS = 1_000_000
 
 _SHIPPED: set[str] = set()
 
@@ -58,7 +63,24 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, and the shuffle files of finished steps."""
+    for df in tables:
+        discard(df.sparkSession, df._staged_at)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()  # Spark removes a shuffle's files once its plan is collected
+
+
+def few(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
+    """Ids, staged, and marked for broadcast if by count they are few enough; else Spark shuffles both sides."""
+    ids = stage(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= bound else ids
 
 
 def discard(spark: SparkSession, path: str) -> None:
