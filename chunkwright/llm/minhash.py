@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from chunkwright.llm.components import components
 from chunkwright.llm.shingles import mix, set_id, shingle_set
-from chunkwright.runtime import ship, stage
+from chunkwright.runtime import few, ship, stage
 
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
@@ -119,7 +119,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, width: int, id_col: str, text_col:
                 found = [shingle_set(v.as_py(), width) for v in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_id(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "sid", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted.select("node"), "node", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(few(wanted.select("node")), "node", "left_semi")
     # An id that repeats with another text is dropped here by its set's id.
     full = texts.mapInArrow(run, "node bigint, sid binary, shingles binary").join(wanted, ["node", "sid"], "left_semi")
     return stage(full.select("node", "shingles").dropDuplicates(["node"]), "minhash-sets")
