@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from chunkwright.llm.components import components
 from chunkwright.llm.shingles import mix, shingle_hashes, word_hashes
-from chunkwright.runtime import ship, stage
+from chunkwright.runtime import few, ship, stage, unstage
 
 #: Hash functions. One finds each exact repeat; three miss a pair at similarity 0.8 with 0.2 ** 3.
 HASHES = 3
@@ -154,7 +154,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, least: int, width: int, percent:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["hub", "hub_start", "hub_end", "doc", "start", "end"])
 
     involved = pairs.select(F.col("hub").alias("doc")).unionByName(pairs.select("doc")).distinct()
-    tokens = stage(docs.join(involved, "doc", "left_semi").mapInArrow(shingled, "doc bigint, tokens binary").dropDuplicates(["doc"]), "passage-tokens")
+    tokens = stage(docs.join(few(involved), "doc", "left_semi").mapInArrow(shingled, "doc bigint, tokens binary").dropDuplicates(["doc"]), "passage-tokens")
     both = pairs.join(tokens.select(F.col("doc").alias("hub"), F.col("tokens").alias("x")), "hub").join(tokens.select("doc", F.col("tokens").alias("y")), "doc")
     return both.select("hub", "doc", "anchors", "x", "y").mapInArrow(compare, "hub bigint, hub_start bigint, hub_end bigint, doc bigint, start bigint, end bigint")
 
@@ -171,21 +171,25 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, width: int = WIDTH
     same = ["h", "g", "size"]
     groups = prints.groupBy(*same).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     copies = stage(prints.join(groups, same).select("doc", "first"), "passage-copies")
-    # Spark broadcasts the ids of copies if their measured size allows it.
-    own = rows.join(copies.where("doc > first").select("doc"), "doc", "left_anti")
+    own = rows.join(few(copies.where("doc > first").select("doc").distinct()), "doc", "left_anti")
 
     windows = stage(_windows(own, least, width, hashes), "passage-windows")
     shared = windows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
-    windows = windows.join(shared, "key")
-    keyed = stage(windows.select("doc", "c", "left", "right", F.explode(F.array("key", F.xxhash64("key", "before", F.lit(1)), F.xxhash64("key", "after", F.lit(2)))).alias("bucket")), "passage-buckets")
+    met = windows.join(shared, "key")
+    keyed = stage(met.select("doc", "c", "left", "right", F.explode(F.array("key", F.xxhash64("key", "before", F.lit(1)), F.xxhash64("key", "after", F.lit(2)))).alias("bucket")), "passage-buckets")
+    del met, shared
+    unstage(windows)
     hubs = keyed.groupBy("bucket").agg(F.min(F.struct("doc", "c", "left", "right")).alias("hub"), F.max("doc").alias("hi")).where("hub.doc < hi").select("bucket", "hub")
     # The interval join: both windows hold a passage around the common shingle, up to the similarity's slack.
     room = F.least("left", "hub.left") + F.least("right", "hub.right") + 1
     met = keyed.join(hubs, "bucket").where((F.col("doc") > F.col("hub.doc")) & (room * 100 >= least * percent))
     pairs = stage(met.groupBy(F.col("hub.doc").alias("hub"), "doc").agg(F.collect_set(F.struct(F.col("hub.c").alias("hub_c"), "c")).alias("anchors")), "passage-pairs")
+    del met, hubs
+    unstage(keyed)
     links = stage(_verify(pairs, own, least, width, percent), "passage-links")
+    unstage(pairs)
 
-    whole = rows.join(copies.where("doc = first").select("doc").distinct(), "doc", "left_semi").select("doc", F.lit(0).cast("long").alias("start"), _word_count("text").alias("end")).where(F.col("end") >= least_words)
+    whole = rows.join(few(copies.where("doc = first").select("doc").distinct()), "doc", "left_semi").select("doc", F.lit(0).cast("long").alias("start"), _word_count("text").alias("end")).where(F.col("end") >= least_words)
     spans = links.select("doc", "start", "end").unionByName(links.select(F.col("hub").alias("doc"), F.col("hub_start").alias("start"), F.col("hub_end").alias("end"))).unionByName(whole)
     spans = spans.groupBy("doc", "start").agg(F.max("end").alias("end"))
     order = Window.partitionBy("doc").orderBy("start")
