@@ -24,15 +24,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkwright.runtime import stage
+from chunkwright.runtime import few, stage
 
 #: Separators before letters are lower-cased, so A-Z are word characters.
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands behind the last word of a row; no word can hold this character.
 _END = "\x00"
-#: Row numbers that are broadcast at most, eight bytes each.
-BROADCAST_ROWS = 1_000_000
 
 
 def lower_ascii(word: Column) -> Column:
@@ -96,7 +94,7 @@ def find_windows(index: Index, windows: DataFrame, slop: int = 0) -> DataFrame:
         .where("start >= 0" if not slop else f"start >= -{slop}")
     )
     starts = stage(starts, "window-starts")
-    near = stage(index.postings.join(_few(starts.select("row").distinct()), "row", "left_semi"), "window-postings")
+    near = stage(index.postings.join(few(starts.select("row").distinct()), "row", "left_semi"), "window-postings")
     for ranks in ("rank = 2", "rank > 2"):
         needed = starts.join(ranked.where(ranks), ["window", "length"])
         asked = needed.select("row", "window", "length", "start", "rank", "term", (F.col("start") + F.col("offset")).alias("pos"))
@@ -110,12 +108,6 @@ def find_windows(index: Index, windows: DataFrame, slop: int = 0) -> DataFrame:
     return starts
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """Row numbers, marked for broadcast if they are few enough by count; else Spark shuffles both sides."""
-    rows = stage(rows, "window-rows")
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", slop: int = 0) -> DataFrame:
     """Per row: id, n_words, n_hit (words inside occurrences), n_items, items (sorted ids), contaminated."""
     by_item = stage(windows_of(items, width).withColumn("window", F.xxhash64("words")), "windows")
