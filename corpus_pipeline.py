@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwright.llm import bpe, decontam, langid, minhash, queries, secrets
-from chunkwright.runtime import read_table, stage
+from chunkwright.runtime import few, read_table, stage
 
 #: Scores of clean text are far above this, even for a single word.
 LEAST_SCORE = 0.25
@@ -34,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs, width=5, percent=80)
-    gone = stage(found.where("not kept").select("doc_id").distinct(), "pipeline-copies")
+    gone = few(found.where("not kept").select("doc_id").distinct())
     again = stage(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeats")
     kept = docs.join(gone, "doc_id", "left_anti")
     if again.isEmpty():
@@ -46,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), width=10)
-    gone = stage(found.where("contaminated").select("doc_id").distinct(), "pipeline-contaminated")
+    gone = few(found.where("contaminated").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
