@@ -7,12 +7,14 @@ table into the folder that the cluster names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 1_000_000
 
 _SHIPPED: set[str] = set()
+_SCRATCH: list[list[str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -65,9 +68,33 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    for scope in _SCRATCH[-1:]:
+        scope.append(path)
     return out
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged inside go when the block ends, but for those given to the function it yields; so do finished steps' shuffle files."""
+    paths: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._staged_at)
+        return df
+
+    _SCRATCH.append(paths)
+    try:
+        yield keep
+    finally:
+        _SCRATCH.pop()
+        for path in paths:
+            if path not in kept:
+                discard(spark, path)
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more, and the shuffle files of finished steps."""
     for df in tables:
