@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwright.llm import bpe, decontam, langid, minhash, queries, secrets
-from chunkwright.runtime import few, read_table, stage
+from chunkwright.runtime import few, read_table, scratch, stage
 
 #: Scores of clean text are far above this, even for a single word.
 LEAST_SCORE = 0.25
@@ -33,10 +33,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs, width=5, percent=80)
-    gone = few(found.where("not kept").select("doc_id").distinct())
+    with scratch(spark) as keep:
+        found = minhash.near_duplicates(docs, width=5, percent=80)
+        gone = keep(stage(found.where("not kept").select("doc_id").distinct(), "pipeline-copies"))
     again = stage(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeats")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(few(gone), "doc_id", "left_anti")
     if again.isEmpty():
         return kept.select(*docs.columns)
     # Rows that repeat an id and its text are copies too.
@@ -45,9 +46,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), width=10)
-    gone = few(found.where("contaminated").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    with scratch(spark) as keep:
+        found = decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), width=10)
+        gone = keep(stage(found.where("contaminated").select("doc_id").distinct(), "pipeline-contaminated"))
+    return docs.join(few(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
