@@ -9,9 +9,10 @@ hash, and an interval join keeps pairs of windows that can hold a common passage
 around their least shingle.
 
 Texts of a bucket are paired with its smallest one, never with each other.  Each
-window goes to three buckets: its least hash alone, and that hash with the shingle
-half a passage to the left and to the right, which separates passages that share
-no more than a phrase (a passage that is long enough reaches one of the two).
+window goes to two buckets: its least hash with the shingle half a passage to the
+left, and to the right.  A common passage that is long enough reaches one of the
+two, so every exact repeat shares a bucket, while texts that share no more than a
+phrase don't.
 
 Pairs are verified on their shingles: from the common one, the passages grow to
 both sides while most shingles occur in the other text, and must then be long
@@ -40,8 +41,8 @@ from chunkwright.llm.components import components
 from chunkwright.llm.shingles import mix, shingle_hashes, word_hashes
 from chunkwright.runtime import few, ship, stage, unstage
 
-#: Hash functions. One finds each exact repeat; three miss a pair at similarity 0.8 with 0.2 ** 3.
-HASHES = 3
+#: Hash functions. One finds each exact repeat; more find near repeats, whose windows differ from one to the other.
+HASHES = 2
 #: Least passage in words, and words of a shingle.
 LEAST_WORDS, WIDTH = 50, 5
 #: Least similarity of verified passages in per cent, and what a shingle weighs that the other text lacks, in turn.
@@ -176,7 +177,7 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, width: int = WIDTH
     windows = stage(_windows(own, least, width, hashes), "passage-windows")
     shared = windows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
     met = windows.join(shared, "key")
-    keyed = stage(met.select("doc", "c", "left", "right", F.explode(F.array("key", F.xxhash64("key", "before", F.lit(1)), F.xxhash64("key", "after", F.lit(2)))).alias("bucket")), "passage-buckets")
+    keyed = stage(met.select("doc", "c", "left", "right", F.explode(F.array(F.xxhash64("key", "before", F.lit(1)), F.xxhash64("key", "after", F.lit(2)))).alias("bucket")), "passage-buckets")
     del met, shared
     unstage(windows)
     hubs = keyed.groupBy("bucket").agg(F.min(F.struct("doc", "c", "left", "right")).alias("hub"), F.max("doc").alias("hi")).where("hub.doc < hi").select("bucket", "hub")
