@@ -36,6 +36,8 @@ HEAP_BYTES = 256
 NO_RANK = 1 << 40
 #: Words, pieces and token pairs that a worker remembers; at this size a memo starts anew.
 MEMO_ENTRIES = 300_000
+#: Rows of an output batch.
+SLICE_ROWS = 1024
 #: Longer pieces are encoded each time, so a memo's bytes stay bounded.
 MEMO_PIECE_CHARS = 64
 
@@ -209,21 +211,25 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
         bpe = encoder(path, pattern)
         for batch in batches:
-            counts, ids, digests, back = [], [], [], []
-            for value in batch.column(1):
-                packed = bpe.encode_packed(value.as_py() or "")
-                numbers = np.frombuffer(packed, dtype="<u4")
-                counts.append(len(numbers))
-                digests.append(hashlib.sha256(packed).hexdigest())
-                back.append(hashlib.sha256(bpe.decode(numbers.tolist())).hexdigest())
-                if with_ids:
-                    ids.append(numbers.astype("<i4"))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+            for low in range(0, len(batch), SLICE_ROWS):  # the ids of a whole batch would take several times its texts
+                yield encoded(bpe, batch.slice(low, SLICE_ROWS))
+
+    def encoded(bpe: TreeBpe, batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, ids, digests, back = [], [], [], []
+        for value in batch.column(1):
+            packed = bpe.encode_packed(value.as_py() or "")
+            numbers = np.frombuffer(packed, dtype="<u4")
+            counts.append(len(numbers))
+            digests.append(hashlib.sha256(packed).hexdigest())
+            back.append(hashlib.sha256(bpe.decode(numbers.tolist())).hexdigest())
             if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                ids.append(numbers.astype("<i4"))
+        columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
+        names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            columns.append(pa.array(ids, pa.list_(pa.int32())))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
