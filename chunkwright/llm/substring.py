@@ -14,6 +14,12 @@ left, and to the right.  A common passage that is long enough reaches one of the
 two, so every exact repeat shares a bucket, while texts that share no more than a
 phrase don't.
 
+The smallest text of a bucket may be like none of the others.  So in buckets of
+more than two windows the first hash function's windows are also laid out as the
+least passages they hold; texts that hold the same one are paired with its smallest
+text, and as equality is transitive no exact repeat is lost.  A near repeat still
+is where its texts meet only in buckets whose smallest text is like neither.
+
 Pairs are verified on their shingles: from the common one, the passages grow to
 both sides while most shingles occur in the other text, and must then be long
 enough and 80 % similar as sets.  Verified spans that overlap within a text
@@ -38,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkwright.llm.components import components
-from chunkwright.llm.shingles import mix, shingle_hashes, word_hashes
+from chunkwright.llm.shingles import _grown, mix, shingle_hashes, word_hashes
 from chunkwright.runtime import few, ship, stage, unstage
 
 #: Hash functions. One finds each exact repeat; more find near repeats, whose windows differ from one to the other.
@@ -69,14 +75,14 @@ def _tokens(text: str | None, width: int) -> np.ndarray:
 
 
 def _windows(docs: DataFrame, least: int, width: int, hashes: int) -> DataFrame:
-    """key (hash function and least hash), doc, c, left, right, and the shingles half a passage to each side, for each window."""
+    """key (hash function and least hash), doc, c, left, right, the shingles half a passage to each side, and if the hash function is the first, for each window."""
     half = least // 2 - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 256):
                 part = batch.slice(low, 256)
-                found: list[list[np.ndarray]] = [[] for _ in range(7)]
+                found: list[list[np.ndarray]] = [[] for _ in range(8)]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     tokens = _tokens(text.as_py(), width)
                     if len(tokens) < least:
@@ -85,13 +91,75 @@ def _windows(docs: DataFrame, least: int, width: int, hashes: int) -> DataFrame:
                         keys = mix(tokens ^ salt)
                         l, c, r = np.array(compact_windows(keys, least)).T
                         before, after = ((tokens[at] >> np.uint64(32)) for at in (np.maximum(c - half, 0), np.minimum(c + half, len(tokens) - 1)))
-                        for i, column in enumerate((keys[c] ^ salt, np.full(len(c), doc), c, c - l, r - c, before, after)):
+                        for i, column in enumerate((keys[c] ^ salt, np.full(len(c), doc), c, c - l, r - c, before, after, np.full(len(c), salt == _SALTS[0]))):
                             found[i].append(column)
-                kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int32)
+                kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int32, np.bool_)
                 columns = [pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind)) for x, kind in zip(found, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "c", "left", "right", "before", "after"])
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "c", "left", "right", "before", "after", "first"])
+
+    return docs.mapInArrow(run, "key bigint, doc bigint, c int, left int, right int, before int, after int, first boolean")
+
+
+def _grams(docs: DataFrame, least: int, width: int) -> DataFrame:
+    """gram, doc, s: the least passages (their hash and first shingle) in the first hash function's windows whose least shingle is in ``at``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, len(batch), 64):
+                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+                for doc, text, at in zip(*batch.slice(low, 64).columns, strict=True):
+                    tokens = _tokens(text.as_py(), width)
+                    if len(tokens) < least:
+                        continue
+                    l, c, r = np.array(compact_windows(mix(tokens ^ _SALTS[0]), least)).T
+                    kept = np.isin(c, at.values.to_numpy())
+                    first = np.maximum(l, c - least + 1)[kept]
+                    n = np.minimum(c, r - least + 1)[kept] - first + 1
+                    starts = np.repeat(first - (n.cumsum() - n), n) + np.arange(n.sum())
+                    up, down = _grown(len(tokens) + 1)
+                    sums = np.zeros(len(tokens) + 1, dtype=np.uint64)
+                    np.cumsum(tokens * up[: len(tokens)], out=sums[1:])
+                    grams = mix((sums[starts + least] - sums[starts]) * down[starts]).view(np.int64)
+                    found.append((grams, np.full(len(starts), doc.as_py(), dtype=np.int64), starts.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["gram", "doc", "s"])
+
+    return docs.select("doc", "text", "at").mapInArrow(run, "gram bigint, doc bigint, s int")
+
+
+def stars(gram: np.ndarray, doc: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """(hub, hub_s, doc, s) of passages sorted by gram, doc and place: each of another text with the hub's first, and the hub's others with the next text's first."""
+    fresh = np.flatnonzero(np.diff(gram, prepend=gram[0] ^ 1))
+    size = np.diff(fresh, append=len(gram))
+    head = np.repeat(fresh, size)
+    own = doc == doc[head]
+    following = np.add.reduceat(own, fresh)  # the hub's rows come first
+    second = np.repeat(np.where(following < size, fresh + following, -1), size)
+    other, repeat = np.flatnonzero(~own), np.flatnonzero(own & (second >= 0))
+    left, right = np.concatenate([head[other], repeat]), np.concatenate([other, second[repeat]])
+    return np.stack([doc[left], s[left].astype(np.int64), doc[right], s[right].astype(np.int64)])
+
+
+def _repeats(grams: DataFrame, least: int) -> DataFrame:
+    """hub, doc, hub_c, c: anchors of every exact repeat that ``grams`` hold; overlapping ones at one distance have one anchor for each ``least`` shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        for batch in batches:
+            if not len(batch):
+                continue
+            gram, doc, s = (np.concatenate([x, y.to_numpy()]) for x, y in zip(rest, batch.columns, strict=True))
+            hub, hub_s, other, at = stars(gram, doc, s)
+            if len(hub):
+                _, one = np.unique(np.stack([hub, other, hub_s - at, at // least, hub_s // least]), axis=1, return_index=True)
+                columns = [pa.array(hub[one]), pa.array(other[one]), pa.array(hub_s[one].astype(np.int32)), pa.array(at[one].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["hub", "doc", "hub_c", "c"])
+            # The last gram may go on in the next batch: its hub's rows and the first of another text stay.
+            last = int(np.searchsorted(gram, gram[-1]))
+            keep = np.arange(last, min(len(gram), last + int((doc[last:] == doc[last]).sum()) + 1))
+            rest = [x[keep] for x in (gram, doc, s)]
 
-    return docs.mapInArrow(run, "key bigint, doc bigint, c int, left int, right int, before int, after int")
+    dealt = grams.repartition("gram").sortWithinPartitions("gram", "doc", "s")
+    return dealt.mapInArrow(run, "hub bigint, doc bigint, hub_c int, c int").distinct()
 
 
 def _extent(present: np.ndarray, at: int, miss: int) -> tuple[int, int]:
@@ -177,16 +245,23 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, width: int = WIDTH
     windows = stage(_windows(own, least, width, hashes), "passage-windows")
     shared = windows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
     met = windows.join(shared, "key")
-    keyed = stage(met.select("doc", "c", "left", "right", F.explode(F.array(F.xxhash64("key", "before", F.lit(1)), F.xxhash64("key", "after", F.lit(2)))).alias("bucket")), "passage-buckets")
+    keyed = stage(met.select("doc", "c", "left", "right", "first", F.explode(F.array(F.xxhash64("key", "before", F.lit(1)), F.xxhash64("key", "after", F.lit(2)))).alias("bucket")), "passage-buckets")
     del met, shared
     unstage(windows)
-    hubs = keyed.groupBy("bucket").agg(F.min(F.struct("doc", "c", "left", "right")).alias("hub"), F.max("doc").alias("hi")).where("hub.doc < hi").select("bucket", "hub")
+    hubs = keyed.groupBy("bucket").agg(F.min(F.struct("doc", "c", "left", "right")).alias("hub"), F.max("doc").alias("hi"), F.count("*").alias("size")).where("hub.doc < hi").select("bucket", "hub", "size")
     # The interval join: both windows hold a passage around the common shingle, up to the similarity's slack.
     room = F.least("left", "hub.left") + F.least("right", "hub.right") + 1
     met = keyed.join(hubs, "bucket").where((F.col("doc") > F.col("hub.doc")) & (room * 100 >= least * percent))
-    pairs = stage(met.groupBy(F.col("hub.doc").alias("hub"), "doc").agg(F.collect_set(F.struct(F.col("hub.c").alias("hub_c"), "c")).alias("anchors")), "passage-pairs")
-    del met, hubs
+    near = stage(met.select(F.col("hub.doc").alias("hub"), "doc", F.col("hub.c").alias("hub_c"), "c").distinct(), "passage-near")
+    # Buckets of two windows are settled by their one pair.
+    crowded = hubs.where("size > 2").select("bucket")
+    places = stage(keyed.where("first").join(crowded, "bucket", "left_semi").groupBy("doc").agg(F.collect_set("c").alias("at")), "passage-crowded")
+    del met, hubs, crowded
     unstage(keyed)
+    anchors = near.unionByName(_repeats(_grams(own.join(places, "doc"), least, width), least))
+    pairs = stage(anchors.groupBy("hub", "doc").agg(F.collect_set(F.struct("hub_c", "c")).alias("anchors")), "passage-pairs")
+    del anchors
+    unstage(near, places)
     links = stage(_verify(pairs, own, least, width, percent), "passage-links")
     unstage(pairs)
 

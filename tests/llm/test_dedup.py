@@ -137,6 +137,34 @@ def test_near_passages_with_edits(spark, make_prose):
     assert {r.doc_id for r in found} == {1, 2} and len({r.class_id for r in found}) == 1
 
 
+def test_exact_repeats_meet_past_a_smaller_text(spark, make_prose):
+    """A smaller text quotes too little of the passage that two others share, and takes the buckets; within the hub every repeat counts."""
+    docs, want = [], {}
+    for k in range(12):
+        quote, tail = make_prose(500 + k, 47), make_prose(600 + k, 6)
+        docs += [(10 * k, f"{make_prose(700 + k, 60)} {quote} {make_prose(800 + k, 60)}")]
+        docs += [(10 * k + i, f"{make_prose(900 + 10 * k + i, 40 + i)} {quote} {tail} {make_prose(1100 + 10 * k + i, 50)}") for i in (1, 2)]
+        want |= {10 * k + i: (40 + i, 93 + i) for i in (1, 2)}
+    twice = make_prose(1300, 55)
+    docs += [(200, f"{twice} {make_prose(1301, 80)} {twice}"), (201, f"{make_prose(1302, 60)} {twice}")]
+    found = substring.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = defaultdict(set)
+    for r in found:
+        got[r.doc_id].update(range(r.start, r.end))
+    for d, (start, end) in want.items():
+        assert set(range(start, end)) <= got[d], d
+    assert {*range(55), *range(135, 190)} <= got[200] and set(range(60, 115)) <= got[201]
+    assert all(r.class_id == r.doc_id // 10 * 10 + 1 for r in found if r.doc_id < 200)
+
+
+def test_stars_across_batches():
+    import numpy as np
+
+    gram, doc, s = np.array([[3, 3, 3, 3, 5, 7, 7], [1, 1, 2, 4, 1, 6, 6], [0, 9, 2, 5, 7, 1, 3]])
+    found = sorted(zip(*substring.stars(gram, doc, s).tolist(), strict=True))
+    assert found == [(1, 0, 2, 2), (1, 0, 2, 2), (1, 0, 4, 5), (1, 9, 2, 2)]
+
+
 def test_passages_odd_rows(odd_docs, no_docs):
     found = substring.passages(odd_docs).collect()
     assert {r.doc_id for r in found} == {1, 4} and all((r.start, r.end, r.class_id) == (0, 120, 1) for r in found)
