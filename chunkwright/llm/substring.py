@@ -9,13 +9,14 @@ hash, and an interval join keeps pairs of windows that can hold a common passage
 around their least shingle.
 
 Texts of a bucket are paired with its smallest one, never with each other.  Each
-window goes to two buckets: its least hash with the shingle half a passage to the
-left, and to the right.  A common passage that is long enough reaches one of the
-two, so every exact repeat shares a bucket, while texts that share no more than a
-phrase don't.
-
-The smallest text of a bucket may be like none of the others.  So in buckets of
-more than two windows the first hash function's windows are also laid out as the
+window goes to three buckets: its least hash alone, and that hash with the shingle
+half a passage to the left, and to the right, which separates passages that share
+no more than a phrase.  A common passage that is long enough reaches one of these
+two, so every exact repeat shares such a bucket.  Hash functions follow one after
+another, so that the windows of one at a time are on disk.
+
+The smallest text of a bucket may be like none of the others.  So in the refined
+buckets of more than two windows the first hash function's windows are also laid out as the
 least passages they hold; texts that hold the same one are paired with its smallest
 text, and as equality is transitive no exact repeat is lost.  A near repeat still
 is where its texts meet only in buckets whose smallest text is like neither.
@@ -37,6 +38,7 @@ no rows.  Extra columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,7 @@ from chunkwright.llm.shingles import _grown, mix, shingle_hashes, word_hashes
 from chunkwright.runtime import few, ship, stage, unstage
 
 #: Hash functions. One finds each exact repeat; more find near repeats, whose windows differ from one to the other.
-HASHES = 2
+HASHES = 4
 #: Least passage in words, and words of a shingle.
 LEAST_WORDS, WIDTH = 50, 5
 #: Least similarity of verified passages in per cent, and what a shingle weighs that the other text lacks, in turn.
@@ -74,30 +76,29 @@ def _tokens(text: str | None, width: int) -> np.ndarray:
     return shingle_hashes(words, width) if len(words) >= width else words[:0]
 
 
-def _windows(docs: DataFrame, least: int, width: int, hashes: int) -> DataFrame:
-    """key (hash function and least hash), doc, c, left, right, the shingles half a passage to each side, and if the hash function is the first, for each window."""
+def _windows(docs: DataFrame, least: int, width: int, salt: np.uint64) -> DataFrame:
+    """key (least hash), doc, c, left, right, and the shingles half a passage to each side, for each window of one hash function."""
     half = least // 2 - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 256):
                 part = batch.slice(low, 256)
-                found: list[list[np.ndarray]] = [[] for _ in range(8)]
+                found: list[list[np.ndarray]] = [[] for _ in range(7)]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     tokens = _tokens(text.as_py(), width)
                     if len(tokens) < least:
                         continue
-                    for salt in _SALTS[:hashes]:
-                        keys = mix(tokens ^ salt)
-                        l, c, r = np.array(compact_windows(keys, least)).T
-                        before, after = ((tokens[at] >> np.uint64(32)) for at in (np.maximum(c - half, 0), np.minimum(c + half, len(tokens) - 1)))
-                        for i, column in enumerate((keys[c] ^ salt, np.full(len(c), doc), c, c - l, r - c, before, after, np.full(len(c), salt == _SALTS[0]))):
-                            found[i].append(column)
-                kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int32, np.bool_)
+                    keys = mix(tokens ^ salt)
+                    l, c, r = np.array(compact_windows(keys, least)).T
+                    before, after = ((tokens[at] >> np.uint64(32)) for at in (np.maximum(c - half, 0), np.minimum(c + half, len(tokens) - 1)))
+                    for i, column in enumerate((keys[c], np.full(len(c), doc), c, c - l, r - c, before, after)):
+                        found[i].append(column)
+                kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int32)
                 columns = [pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind)) for x, kind in zip(found, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "c", "left", "right", "before", "after", "first"])
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "c", "left", "right", "before", "after"])
 
-    return docs.mapInArrow(run, "key bigint, doc bigint, c int, left int, right int, before int, after int, first boolean")
+    return docs.mapInArrow(run, "key bigint, doc bigint, c int, left int, right int, before int, after int")
 
 
 def _grams(docs: DataFrame, least: int, width: int) -> DataFrame:
@@ -162,6 +163,12 @@ def _repeats(grams: DataFrame, least: int) -> DataFrame:
     return dealt.mapInArrow(run, "hub bigint, doc bigint, hub_c int, c int").distinct()
 
 
+def _hubs(windows: DataFrame, bucket: str) -> DataFrame:
+    """Of each bucket with several texts its first window and its size."""
+    grouped = windows.groupBy(bucket).agg(F.min(F.struct("doc", "c", "left", "right")).alias("hub"), F.max("doc").alias("hi"), F.count("*").alias("size"))
+    return grouped.where("hub.doc < hi").select(bucket, "hub", "size")
+
+
 def _extent(present: np.ndarray, at: int, miss: int) -> tuple[int, int]:
     """The stretch around ``at`` with the most presence, an absence weighing ``miss``; the end is excluded."""
     weights = np.where(present, 1, -miss)
@@ -242,26 +249,31 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, width: int = WIDTH
     copies = stage(prints.join(groups, same).select("doc", "first"), "passage-copies")
     own = rows.join(few(copies.where("doc > first").select("doc").distinct()), "doc", "left_anti")
 
-    windows = stage(_windows(own, least, width, hashes), "passage-windows")
-    shared = windows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
-    met = windows.join(shared, "key")
-    keyed = stage(met.select("doc", "c", "left", "right", "first", F.explode(F.array(F.xxhash64("key", "before", F.lit(1)), F.xxhash64("key", "after", F.lit(2)))).alias("bucket")), "passage-buckets")
-    del met, shared
-    unstage(windows)
-    hubs = keyed.groupBy("bucket").agg(F.min(F.struct("doc", "c", "left", "right")).alias("hub"), F.max("doc").alias("hi"), F.count("*").alias("size")).where("hub.doc < hi").select("bucket", "hub", "size")
-    # The interval join: both windows hold a passage around the common shingle, up to the similarity's slack.
-    room = F.least("left", "hub.left") + F.least("right", "hub.right") + 1
-    met = keyed.join(hubs, "bucket").where((F.col("doc") > F.col("hub.doc")) & (room * 100 >= least * percent))
-    near = stage(met.select(F.col("hub.doc").alias("hub"), "doc", F.col("hub.c").alias("hub_c"), "c").distinct(), "passage-near")
-    # Buckets of two windows are settled by their one pair.
-    crowded = hubs.where("size > 2").select("bucket")
-    places = stage(keyed.where("first").join(crowded, "bucket", "left_semi").groupBy("doc").agg(F.collect_set("c").alias("at")), "passage-crowded")
-    del met, hubs, crowded
-    unstage(keyed)
+    nears = []
+    for number, salt in enumerate(_SALTS[:hashes]):
+        windows = stage(_windows(own, least, width, salt), "passage-windows")
+        shared = _hubs(windows, "key")
+        met = stage(windows.join(shared, "key"), "passage-met")
+        del shared
+        unstage(windows)
+        keyed = stage(met.select("doc", "c", "left", "right", F.explode(F.array(F.xxhash64("key", "before", F.lit(1)), F.xxhash64("key", "after", F.lit(2)))).alias("bucket")), "passage-buckets")
+        hubs = _hubs(keyed, "bucket")
+        # The interval join: both windows hold a passage around the common shingle, up to the similarity's slack.
+        room = F.least("left", "hub.left") + F.least("right", "hub.right") + 1
+        paired = [x.where((F.col("doc") > F.col("hub.doc")) & (room * 100 >= least * percent)).select(F.col("hub.doc").alias("hub"), "doc", F.col("hub.c").alias("hub_c"), "c") for x in (met, keyed.join(hubs, "bucket"))]
+        nears.append(stage(paired[0].unionByName(paired[1]).distinct(), "passage-near"))
+        if number == 0:
+            # Buckets of two windows are settled by their one pair.
+            crowded = hubs.where("size > 2").select("bucket")
+            places = stage(keyed.join(crowded, "bucket", "left_semi").groupBy("doc").agg(F.collect_set("c").alias("at")), "passage-crowded")
+            del crowded
+        del paired, hubs
+        unstage(met, keyed)
+    near = reduce(DataFrame.unionByName, nears)
     anchors = near.unionByName(_repeats(_grams(own.join(places, "doc"), least, width), least))
     pairs = stage(anchors.groupBy("hub", "doc").agg(F.collect_set(F.struct("hub_c", "c")).alias("anchors")), "passage-pairs")
-    del anchors
-    unstage(near, places)
+    del anchors, near
+    unstage(*nears, places)
     links = stage(_verify(pairs, own, least, width, percent), "passage-links")
     unstage(pairs)
 

@@ -157,6 +157,17 @@ def test_exact_repeats_meet_past_a_smaller_text(spark, make_prose):
     assert all(r.class_id == r.doc_id // 10 * 10 + 1 for r in found if r.doc_id < 200)
 
 
+def test_passages_with_an_inserted_word(spark, make_prose):
+    """The shingles half a passage away then lie at different distances, so such texts meet by the least hash alone."""
+    docs = []
+    for k in range(40):
+        passage = make_prose(2000 + k, 60).split()
+        docs += [(2 * k, f"{make_prose(2100 + k, 70)} {' '.join(passage)} {make_prose(2200 + k, 50)}")]
+        docs += [(2 * k + 1, f"{make_prose(2300 + k, 40)} {' '.join([*passage[:30], 'inserted', *passage[30:]])} {make_prose(2400 + k, 80)}")]
+    found = substring.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len({r.doc_id // 2 for r in found}) >= 39
+
+
 def test_stars_across_batches():
     import numpy as np
 
