@@ -42,8 +42,10 @@ SLICE_ROWS = 1024
 MEMO_PIECE_CHARS = 64
 
 
-#: The public pattern for which a lone space always begins a match.
+#: The public pattern for which a space between a character that isn't white space and one that isn't begins a match.
 SPACE_BEGINS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A space that white space or an end of the text adjoins.
+BESIDE_SPACE = regex.compile(r"\s | (?:\s|\Z)|\A ")
 
 
 def pack(ids: list[int]) -> bytes:
@@ -167,10 +169,11 @@ class TreeBpe:
     def encode_packed(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers.
 
-        A lone space always begins a match of the pattern, so a text without two
-        spaces in a row splits before each of them into words with the same matches.
+        A space begins a match of the pattern unless it stands beside other white
+        space or at an end of the text, so a text without such spaces splits before
+        each of them into words with the same matches.
         """
-        if "  " in text or not self.space_begins:
+        if not self.space_begins or BESIDE_SPACE.search(text):
             return b"".join(map(self.piece_memo.__getitem__, self.pieces.findall(text)))
         first, *rest = text.split(" ")
         lookup = self.word_memo.__getitem__

@@ -30,6 +30,16 @@ def test_tree_encoding_equals_the_library(both):
         assert ours.decode(ids, leaf=7) == t.encode()
 
 
+def test_spaces_beside_other_white_space(both):
+    ours, theirs = both
+    rng = random.Random(9)
+    texts = ["x \u00a0 \u00a0 y", "x \u00a0 \u00a0", "x \u00a0", " x", "x ", "a \u00a0b", "a\u00a0 b", "a\n b", "a \nb", "x \u3000 \u2003 y", "x\u0085 y"]
+    texts += ["".join(rng.choice(["x", "the", "7", ".", " ", " ", "\u00a0", " \u00a0", "\n", "\u3000", "\u2009", "\x1c", "\u200b"]) for _ in range(rng.choice([3, 9, 40]))) for _ in range(3000)]
+    for t in texts:
+        assert ours.encode(t) == theirs.encode_ordinary(t), t
+    assert ours.encode(texts[0]) == [87, 11504, 331]
+
+
 def test_heap_and_list_merges_agree(both):
     ours, _ = both
     rng = random.Random(6)
