@@ -1,15 +1,19 @@
 """What every operator needs from the session: shipped code and shared tables.
 
-``ship`` sends this package to the executors; ``stage`` cuts lineage by writing a
-table into the folder that the cluster names in ``spark.checkpoint.dir``.
+``ship`` sends this package to the executors and bounds Arrow batches by their bytes;
+``stage`` cuts lineage by writing a table into the folder that the cluster names in
+``spark.checkpoint.dir``; ``scratched`` deletes what an operator staged and its result
+doesn't read.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,12 +27,18 @@ from pyspark.sql import functions as F
 #: Ids that are broadcast at most, eight bytes each.
 BROADCAST_IDS = 1_000_000
 
+#: Bounds of an Arrow batch on its way to Python. Spark's own, 10,000 rows and 64 MB, are held several times over by an executor and its workers.
+BATCH_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2048"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
+
 _SHIPPED: set[str] = set()
 _SCRATCH: list[list[str]] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Make ``chunkwright`` importable in the executors, once per application."""
+    """Make ``chunkwright`` importable in the executors, once per application; bound batches where the session keeps Spark's defaults."""
+    for name, (default, bound) in BATCH_BOUNDS.items():
+        if spark.conf.get(name, None) == default:
+            spark.conf.set(name, bound)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -44,10 +54,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is named."""
+    """The folder all executors share. Where none is named, one process can do with a temporary one; a cluster can't."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="chunkwright-shared-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
@@ -73,6 +85,12 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Staged tables of one schema as one scan, whose partitions pack small files."""
+    first = tables[0]
+    return first.sparkSession.read.schema(first.schema).parquet(*(t._staged_at for t in tables))
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables staged inside go when the block ends, but for those given to the function it yields; so do finished steps' shuffle files."""
@@ -91,10 +109,37 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         for path in paths:
             if path not in kept:
                 discard(spark, path)
+        for scope in _SCRATCH[-1:]:
+            scope.extend(path for path in paths if path in kept)
         gc.collect()
         spark._jvm.System.gc()
 
 
+def scratched(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Of the tables that a call stages, only those stay that its result reads."""
+
+    @functools.wraps(operator)
+    def run(*args, **options):
+        spark = args[0].sparkSession if isinstance(args[0], DataFrame) else args[0]
+        paths: list[str] = []
+        _SCRATCH.append(paths)
+        kept: list[str] = []
+        try:
+            out = operator(*args, **options)
+            read = {os.path.dirname(file).rpartition("/")[2] for file in out.inputFiles()}
+            kept = [path for path in paths if path.rpartition("/")[2] in read]
+        finally:
+            _SCRATCH.pop()
+            for path in paths:
+                if path not in kept:
+                    discard(spark, path)
+        for scope in _SCRATCH[-1:]:
+            scope.extend(kept)
+        return out
+
+    return run
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more, and the shuffle files of finished steps."""
     for df in tables:
