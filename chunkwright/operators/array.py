@@ -18,7 +18,7 @@ from chunkwright.sources import source
 from chunkwright.sources.caches import Cache, MetadataContext, read_metadata
 from chunkwright.sources.hooks import Hooks
 from chunkwright.sources.limiter import ByteLimiter
-from chunkwright.sources.reader import Handle, ReadOptions, read_array
+from chunkwright.sources.reader import Handle, ReadOptions, read_array, warn_of_size
 from chunkwright.sources.stores import Store, derive_store_id, open_store
 
 #: Cells that a selection may have to become one array column.
@@ -107,8 +107,16 @@ class Array:
 
 
 def load(spark: SparkSession, handles: dict[str, Handle], selection: Sequence | None = None, **options: object) -> DataFrame:
-    """A scan of arrays of one shape and chunking: their selection as rows, a column for each."""
+    """A scan of arrays of one shape and chunking: their selection as rows, a column for each.
+
+    ``hooks`` (a ``Hooks``) are called where chunks are read, in the executors' Python workers, so their handlers need to
+    report to something that all of them reach. ``large_read_warning_bytes`` warns here, before anything is read.
+    """
     source.register(spark)
+    first = next(iter(handles.values())).meta
+    warn_of_size(handles.values(), indexing.normalize(selection, first.shape), float(options.pop("large_read_warning_bytes", "inf")))
+    if (hooks := options.pop("hooks", None)) is not None:
+        options["hooks"] = source.pack(hooks)
     reader = spark.read.format(source.FORMAT).option("handles", source.pack(handles))
     settings = {"min_partitions": spark.sparkContext.defaultParallelism, **options}
     if selection is not None:

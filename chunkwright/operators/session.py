@@ -39,6 +39,7 @@ class Dataset:
         size = options.chunk_memory_cache_bytes
         self.memory_cache = MemoryCache(size) if size > 0 else None
         self._decoded: dict[tuple[str, str], np.ndarray] = {}
+        self._arrays: dict[str, Array] = {}
         self._locks: dict[tuple[str, str], threading.Lock] = {}
         self._guard = threading.Lock()
 
@@ -46,10 +47,19 @@ class Dataset:
         return self.group.get_array(name)
 
     def read(self, name: str, selection: Sequence | None = None, **options: object) -> DataFrame:
-        """A selection as rows; with a chunk cache, Python workers keep decoded chunks between tasks."""
+        """A selection as rows; with a chunk cache, Python workers keep decoded chunks between tasks. The registry's hooks go with it."""
         if self.options.chunk_memory_cache_bytes > 0:
             options.setdefault("memory_cache_bytes", self.options.chunk_memory_cache_bytes)
-        return self.get_array(name).get(selection, **options)
+        if self.options.hooks is not None:
+            options.setdefault("hooks", self.options.hooks)
+        return self._array(name).get(selection, **options)
+
+    def _array(self, name: str) -> Array:
+        """One handle for each array, so that what is cached of it is found again."""
+        with self._guard:
+            if name not in self._arrays:
+                self._arrays[name] = self.get_array(name)
+            return self._arrays[name]
 
     def to_numpy(self, name: str, selection: Sequence | None = None, options: ReadOptions | None = None) -> np.ndarray:
         options = options or ReadOptions()

@@ -9,6 +9,7 @@ import struct
 import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,33 +38,69 @@ class Nearest:
     distance_km: float
 
 
+#: Cells of a tile on average, and pairs of points and cells that are looked at at once.
+TILE_CELLS, PAIRS = 16, 1 << 21
+
+
 class _Searcher:
-    """Cells in order of latitude, so that a first guess bounds the band that must be looked through."""
+    """Cells in tiles of latitude and longitude. Points look at squares of tiles around their own, which double until no cell outside can be nearer."""
 
     def __init__(self, lat: np.ndarray, lon: np.ndarray):
-        known = np.flatnonzero(~(np.isnan(lat) | np.isnan(lon)))
-        self.order = known[np.argsort(lat[known], kind="stable")]
-        self.lat, self.lon = lat[self.order].astype(np.float64), lon[self.order].astype(np.float64)
-
-    def find(self, lat: float, lon: float) -> tuple[int, float]:
-        """(row-major number of the nearest cell, squared degrees); ties go to the smallest number."""
+        known = np.flatnonzero(np.isfinite(lat) & np.isfinite(lon))
+        y, x = lat[known].astype(np.float64), lon[known].astype(np.float64)
+        self.side = max(1, int((len(known) / TILE_CELLS) ** 0.5))
+        self.low = [float(v.min()) if len(v) else 0.0 for v in (y, x)]
+        self.step = [(float(v.max() - v.min()) / self.side or 1.0) if len(v) else 1.0 for v in (y, x)]
+        tile = self._tile(0, y) * self.side + self._tile(1, x)
+        order = np.lexsort((known, tile))
+        self.cell, self.lat, self.lon = known[order], y[order], x[order]
+        self.first = np.searchsorted(tile[order], np.arange(self.side * self.side + 1))
+
+    def _tile(self, axis: int, v: np.ndarray) -> np.ndarray:
+        return np.clip((v - self.low[axis]) / self.step[axis], 0, self.side - 1).astype(np.int64)
+
+    def find(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row-major number of the nearest cell, squared degrees) of each point; ties go to the smallest number, and points without any to cell 0."""
+        cells, squared = np.zeros(len(lat), dtype=np.int64), np.full(len(lat), np.inf)
+        todo = np.flatnonzero(np.isfinite(lat) & np.isfinite(lon)) if len(self.cell) else np.zeros(0, dtype=np.int64)
+        reach = 1
+        while len(todo):
+            cells[todo], squared[todo], settled = self._look(lat[todo], lon[todo], reach)
+            todo = todo[~settled]
+            reach *= 2
+        return cells, squared
+
+    def _look(self, lat: np.ndarray, lon: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = [self._tile(0, lat), self._tile(1, lon)]
+        low, high = zip(*((np.maximum(t - reach, 0), np.minimum(t + reach, self.side - 1)) for t in at), strict=True)
+        rows = high[0] - low[0] + 1
+        owner = np.repeat(np.arange(len(lat)), rows)
+        row = np.arange(rows.sum()) - np.repeat(rows.cumsum() - rows, rows) + low[0][owner]
+        begin, end = self.first[row * self.side + low[1][owner]], self.first[row * self.side + high[1][owner] + 1]
+        count = np.bincount(owner, weights=end - begin, minlength=len(lat)).astype(np.int64)
+        if count.sum() > PAIRS and len(lat) > 1:
+            half = len(lat) // 2
+            parts = [self._look(lat[i], lon[i], reach) for i in (slice(None, half), slice(half, None))]
+            return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
         cos = np.cos(lat * np.pi / 180)
-        if not len(self.order) or not (np.isfinite(lat) and np.isfinite(lon)):
-            return 0, float("inf")
-
-        def squared(a: int, b: int) -> np.ndarray:
-            d_lat, d_lon = self.lat[a:b] - lat, (self.lon[a:b] - lon) * cos
-            return d_lat * d_lat + d_lon * d_lon
-
-        place, reach = int(np.searchsorted(self.lat, lat)), 64
-        guess = squared(max(0, place - reach), place + reach).min()
-        bound = np.sqrt(guess) * (1 + 1e-9) + 1e-12
-        a, b = np.searchsorted(self.lat, lat - bound, "left"), np.searchsorted(self.lat, lat + bound, "right")
-        found = squared(a, b)
-        least = found.min()
-        if not np.isfinite(least):
-            return 0, float("inf")
-        return int(self.order[a:b][found == least].min()), float(least)
+        size = end - begin
+        place = np.arange(size.sum()) + np.repeat(begin - (size.cumsum() - size), size)
+        point = np.repeat(np.arange(len(lat)), count)
+        d_lat, d_lon = self.lat[place] - lat[point], (self.lon[place] - lon[point]) * cos[point]
+        gap = d_lat * d_lat + d_lon * d_lon
+        best, cell = np.full(len(lat), np.inf), np.zeros(len(lat), dtype=np.int64)
+        met = np.flatnonzero(count)
+        if len(met):
+            starts = (count.cumsum() - count)[met]
+            best[met] = np.minimum.reduceat(gap, starts)
+            cell[met] = np.minimum.reduceat(np.where(gap == best[point], self.cell[place], np.iinfo(np.int64).max), starts)
+        room = np.full(len(lat), np.inf)  # how far the nearest cell outside is, at least
+        for axis, (v, scale) in enumerate(((lat, np.ones(len(lat))), (lon, np.abs(cos)))):
+            below = np.where(low[axis] > 0, v - (self.low[axis] + low[axis] * self.step[axis]), np.inf)
+            above = np.where(high[axis] < self.side - 1, self.low[axis] + (high[axis] + 1) * self.step[axis] - v, np.inf)
+            for edge in (below, above):
+                room = np.minimum(room, np.where(np.isinf(edge), np.inf, edge * scale))
+        return cell, best, np.isinf(room) | (np.sqrt(best) * (1 + 1e-9) + 1e-12 < room)
 
 
 class GridIndex:
@@ -122,10 +159,15 @@ class GridIndex:
 
     def nearest(self, lat: float, lon: float) -> Nearest:
         """By flat distance with the longitude scaled by the target's cosine; no wrap at the date line."""
+        i, j, distance = self.nearest_of(np.array([lat], dtype=np.float64), np.array([lon], dtype=np.float64))
+        return Nearest(int(i[0]), int(j[0]), float(distance[0]))
+
+    def nearest_of(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, distance_km) of many points at once."""
         if self._searcher is None:
             self._searcher = _Searcher(self.lat, self.lon)
         cell, squared = self._searcher.find(lat, lon)
-        return Nearest(cell // self.nx, cell % self.nx, float(np.sqrt(squared)) * KM_PER_DEGREE)
+        return cell // self.nx, cell % self.nx, np.sqrt(squared) * KM_PER_DEGREE
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         """Rows i, j, lat, lon."""
@@ -144,10 +186,8 @@ class GridIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = GridIndex.from_bytes(grid.value)
             for batch in batches:
-                missing = float("nan")
-                targets = zip(batch.column("_lat").to_pylist(), batch.column("_lon").to_pylist(), strict=True)
-                found = [index.nearest(missing if a is None else a, missing if b is None else b) for a, b in targets]
-                extra = [pa.array([f.i for f in found], pa.int64()), pa.array([f.j for f in found], pa.int64()), pa.array([f.distance_km for f in found], pa.float64())]
+                targets = (batch.column(c).cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False) for c in ("_lat", "_lon"))
+                extra = [pa.array(v) for v in index.nearest_of(*targets)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *extra], names=[*names, "i", "j", "distance_km"])
 
         given = points.withColumns({"_lat": F.col(lat).cast("double"), "_lon": F.col(lon).cast("double")})
@@ -155,30 +195,57 @@ class GridIndex:
         return given.mapInArrow(run, schema)
 
 
+#: Widths of the tiles, in degrees, that points and cells meet in, one after another.
+TILE_DEGREES = (0.25, 1.0, 4.0, 16.0, 64.0, 1024.0)
+#: Near the poles a point looks at so many tiles of longitude to a side, at most.
+MOST_TILES = 50
+
+
 def nearest_join(points: DataFrame, cells: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """``nearest_many`` for grids that are too large to copy: band by band of latitude, with a widening search.
+    """``nearest_many`` for grids that are too large to copy: points meet the cells of the tiles around them.
 
-    Points meet the cells of their own band and its neighbours; the least distance found bounds the
-    bands that can still hold a nearer cell, and only these are looked through again.
+    A point is settled if no cell outside these tiles can be nearer than the best one inside. The others go on to wider tiles; the widest
+    hold all there is, and only points far from every cell, or at a pole, get there.
     """
-    band = 0.25
     numbered = stage(points.withColumn("_point", F.monotonically_increasing_id()), "points")
-    known = cells.where(~F.isnan("lat") & ~F.isnan("lon")).select(F.floor(F.col("lat") / band).alias("_band"), F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("lat").cast("double").alias("_y"), F.col("lon").cast("double").alias("_x"))
-    d_lat, d_lon = F.col("_y") - F.col(lat), (F.col("_x") - F.col(lon)) * F.cos(F.col(lat) * F.lit(np.pi) / 180)
+    y, x = F.col(lat).cast("double"), F.col(lon).cast("double")
+    infinite = F.lit(float("inf"))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < infinite)
+    todo = numbered.select("_point", y.alias("_lat"), x.alias("_lon")).where(finite(F.col("_lat")) & finite(F.col("_lon")))
+    known = cells.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("lat").cast("double").alias("_y"), F.col("lon").cast("double").alias("_x")).where(finite(F.col("_y")) & finite(F.col("_x")))
+    cos = F.abs(F.cos(F.col("_lat") * F.lit(np.pi) / 180))
+    d_lat, d_lon = F.col("_y") - F.col("_lat"), (F.col("_x") - F.col("_lon")) * F.cos(F.col("_lat") * F.lit(np.pi) / 180)
     squared = d_lat * d_lat + d_lon * d_lon
-
-    def least(bands: DataFrame) -> DataFrame:
-        met = bands.withColumn("_band", F.explode("_bands")).join(known, "_band")
-        return met.groupBy("_point").agg(F.min(F.struct(squared.alias("d"), F.col("_i").alias("i"), F.col("_j").alias("j"))).alias("_best"))
-
-    own = F.floor(F.col(lat) / band)
-    first = least(numbered.withColumn("_bands", F.sequence(own - 1, own + 1)))
-    bounded = numbered.join(first, "_point", "left")
-    reach = F.coalesce(F.sqrt("_best.d"), F.lit(400.0))
-    low, high = F.floor((F.col(lat) - reach) / band), F.floor((F.col(lat) + reach) / band)
-    best = least(bounded.withColumn("_bands", F.sequence(F.greatest(low, F.lit(-2000)), F.least(high, F.lit(2000)))))
-    out = numbered.join(best, "_point", "left")
-    return out.select(*points.columns, F.coalesce("_best.i", F.lit(0)).alias("i"), F.coalesce("_best.j", F.lit(0)).alias("j"), F.coalesce(F.sqrt("_best.d") * KM_PER_DEGREE, F.lit(float("inf"))).alias("distance_km"))
+    found = []
+    for width in TILE_DEGREES:
+        wide = F.least(F.lit(width) / F.greatest(cos, F.lit(1e-9)), F.lit(width * MOST_TILES))
+        rows = F.sequence(F.floor((F.col("_lat") - width) / width), F.floor((F.col("_lat") + width) / width))
+        columns = F.sequence(F.floor((F.col("_lon") - wide) / width), F.floor((F.col("_lon") + wide) / width))
+        tiled = known.withColumns({"_row": F.floor(F.col("_y") / width), "_column": F.floor(F.col("_x") / width)})
+        met = todo.withColumn("_row", F.explode(rows)).withColumn("_column", F.explode(columns)).join(tiled, ["_row", "_column"])
+        best = met.groupBy("_point").agg(F.min(F.struct(squared.alias("d"), F.col("_i").alias("i"), F.col("_j").alias("j"))).alias("_best"))
+        room = F.least(F.lit(width), wide * cos)
+        last = width == TILE_DEGREES[-1]
+        looked = stage(todo.join(best, "_point", "left").withColumn("_settled", F.lit(last) | F.coalesce(F.sqrt("_best.d") * (1 + 1e-9) + 1e-12 < room, F.lit(False))), "nearest")
+        found.append(looked.where("_settled").select("_point", "_best"))
+        todo = looked.where("not _settled").select("_point", "_lat", "_lon")
+        if last or todo.isEmpty():
+            break
+    out = numbered.join(reduce(DataFrame.unionByName, found), "_point", "left")
+    return out.select(*points.columns, F.coalesce("_best.i", F.lit(0)).alias("i"), F.coalesce("_best.j", F.lit(0)).alias("j"), F.coalesce(F.sqrt("_best.d") * KM_PER_DEGREE, infinite).alias("distance_km"))
+
+
+def grid_cells(group: Group, lat_name: str = "lat", lon_name: str = "lon") -> DataFrame:
+    """i, j, lat, lon of a grid, scanned by tasks."""
+    return group.read_wide([lat_name, lon_name]).select(F.col("i0").alias("i"), F.col("i1").alias("j"), F.col(lat_name).alias("lat"), F.col(lon_name).alias("lon"))
+
+
+def nearest_cells(group: Group, points: DataFrame, lat: str = "lat", lon: str = "lon", lat_name: str = "lat", lon_name: str = "lon") -> DataFrame:
+    """``nearest_many`` on a group's grid: sent to the executors whole if its shape says it is small enough, else scanned and joined."""
+    shape = _coordinate(group, lat_name).shape
+    if len(shape) == 2 and 8 * shape[0] * shape[1] <= BROADCAST_BYTES:
+        return GridIndex.from_group(group, lat_name, lon_name).nearest_many(points, lat, lon)
+    return nearest_join(points, grid_cells(group, lat_name, lon_name), lat, lon)
 
 
 def _coordinate(group: Group, name: str) -> Array:
@@ -228,20 +295,42 @@ def point_series(group: Group, variable: str, grid: GridIndex, lat: float, lon:
     return group.get_array(variable).point_series(cell.i, cell.j, **options)
 
 
+#: A 1-D coordinate of more values is searched by tasks.
+LOCAL_LABELS = 1 << 20
+
+
+def _nearest_label(coordinate: Array, label: float) -> int:
+    """The place of the value nearest to a label, the first of equals."""
+    if coordinate.shape[0] <= LOCAL_LABELS:
+        return int(np.nanargmin(np.abs(coordinate.to_numpy().ravel().astype(np.float64) - label)))
+    gap = F.abs(F.col("value").cast("double") - F.lit(float(label)))
+    return coordinate.get().where(~F.isnan(gap)).agg(F.min(F.struct(gap.alias("gap"), "i0"))["i0"]).first()[0]
+
+
 def select_labels(group: Group, labels: dict[str, float], variables: Sequence[str] | None = None, **options: object) -> dict[str, DataFrame]:
-    """Data variables at the coordinates nearest to the labels; dimensions are named by _ARRAY_DIMENSIONS."""
+    """Data variables at the coordinates nearest to the labels; dimensions are named by _ARRAY_DIMENSIONS.
+
+    Labels of a dimension's own 1-D coordinate choose along it. Two labels of 2-D coordinates over the same two dimensions, latitude first,
+    choose the nearest cell of that grid.
+    """
     arrays = dict(group.arrays())
-    at = {}
+    at: dict[str, int] = {}
+    flat = [n for n in labels if n in arrays and len(arrays[n].shape) == 2]
+    if flat:
+        if len(flat) != 2 or (dims := arrays[flat[0]].attrs.get("_ARRAY_DIMENSIONS")) is None or dims != arrays[flat[1]].attrs.get("_ARRAY_DIMENSIONS"):
+            raise SliceError(f"{flat} aren't two 2-D coordinates over the same dimensions")
+        cell = GridIndex.from_group(group, *flat).nearest(labels[flat[0]], labels[flat[1]])
+        at |= dict(zip(dims, (cell.i, cell.j), strict=True))
     for name, label in labels.items():
-        values = arrays[name].to_numpy().ravel().astype(np.float64) if name in arrays else None
-        if values is None or len(arrays[name].shape) != 1:
-            raise SliceError(f"{name} isn't a 1-D coordinate of the group")
-        gap = np.abs(values - label)
-        at[name] = int(np.nanargmin(gap))
+        if name in flat:
+            continue
+        if name not in arrays or len(arrays[name].shape) != 1:
+            raise SliceError(f"{name} isn't a coordinate of the group")
+        at[(arrays[name].attrs.get("_ARRAY_DIMENSIONS") or [name])[0]] = _nearest_label(arrays[name], label)
     out = {}
     for name, array in arrays.items():
         dims = array.attrs.get("_ARRAY_DIMENSIONS", [])
-        wanted = variables is None and name not in dims or variables is not None and name in variables
+        wanted = variables is None and name not in {*dims, *labels} or variables is not None and name in variables
         if wanted and any(d in at for d in dims):
             out[name] = array.get([at.get(d) for d in dims], **options)
     return out

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator, Sequence
+import uuid
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from math import isfinite, prod
@@ -35,6 +37,9 @@ class Handle:
     path: str
     meta: ArrayMeta
     codecs: dict = field(default_factory=dict)  # registrations that executors lack
+    #: Names what is cached of this array. It is fixed when the array is opened and travels with it, so no two stores
+    #: share cached chunks, and an array opened again sees what its store holds by then.
+    scope: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def key(self, coordinate: Sequence[int]) -> str:
         name = indexing.chunk_key(coordinate, self.meta.separator)
@@ -147,6 +152,30 @@ def cell_batches(chunk: Chunk, kinds: list, columns: list[np.ndarray], names: li
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+def prefetched[K, V](work: Callable[[K], V], keys: Iterable[K], window: int) -> Iterator[V]:
+    """``work`` of each key, in order, with at most ``window`` results begun and not yet taken."""
+    if window <= 1:
+        yield from map(work, keys)
+        return
+    pool, begun = ThreadPoolExecutor(window), deque()
+    try:
+        for key in keys:
+            begun.append(pool.submit(work, key))
+            if len(begun) >= window:
+                yield begun.popleft().result()
+        while begun:
+            yield begun.popleft().result()
+    finally:
+        pool.shutdown(wait=True, cancel_futures=True)
+
+
+def warn_of_size(handles: Iterable[Handle], box: Box, bytes_allowed: float) -> None:
+    """Warn if a selection's decoded cells exceed the bytes; an infinite number means never."""
+    size = sum(indexing.volume(box) * h.meta.element().size for h in handles)
+    if isfinite(bytes_allowed) and size > bytes_allowed:
+        warn(f"a selection of {size} bytes is above the {bytes_allowed:g} at which to warn", stacklevel=4)
+
+
 def read_array(handle: Handle, selection=None, options: ReadOptions | None = None, limiter: ByteLimiter | None = None) -> np.ndarray:
     """A selection as one dense array in this process: for coordinates and other small arrays.
 

@@ -4,11 +4,16 @@ Options: ``handles`` (pickled, set by ``Array``) or ``path`` and ``array``;
 ``selection`` (JSON); ``layout``: cells (i0.., values), chunks (key,
 chunk_coord, nbytes, raw) or events (what was fetched); ``strict``;
 ``bounds``: fill or error; ``byte_range``: auto or off; ``max_partition_bytes``;
-``min_partitions``; ``pushdown``: on or off; ``cache_dir``; ``cache_bytes``; ``memory_cache_bytes``; ``variables`` (JSON).
+``min_partitions``; ``pushdown``: on or off; ``cache_dir``; ``cache_bytes``; ``memory_cache_bytes``; ``variables`` (JSON);
+``concurrency``: chunks that a task has in flight, under ``max_in_flight_bytes``; ``hooks``: pickled, called in the executors' Python workers.
+
+A task fetches and decodes chunks ahead of the one it emits, as many as both limits
+allow, so the latency of a remote store is paid once for each window and not for each chunk.
 
 Partitions are runs of the selection's chunk grid, numbered, never listed: the
 driver plans a grid of any size with the same few numbers.  Comparisons of index
-columns with literals are pushed down and shrink the box before planning; Spark
+columns with literals are pushed down and shrink the box before planning, and lists of
+values skip the chunks that hold none; Spark
 still applies them afterwards, as one side of a chunk may not meet them.
 """
 
@@ -17,6 +22,7 @@ from __future__ import annotations
 import base64
 import json
 import time
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from math import prod
@@ -33,13 +39,17 @@ from chunkwright.functions.codecs import codec_registry
 from chunkwright.functions.indexing import Box
 from chunkwright.runtime import ship
 from chunkwright.sources.caches import MemoryCache
-from chunkwright.sources.reader import Handle, ReadOptions, cell_batches, peak_bytes, read_chunk
-from chunkwright.sources.stores import CachedStore, derive_store_id, open_store
+from chunkwright.sources.hooks import Hooks
+from chunkwright.sources.limiter import ByteLimiter
+from chunkwright.sources.reader import Chunk, Handle, ReadOptions, cell_batches, peak_bytes, prefetched, read_chunk
+from chunkwright.sources.stores import CachedStore, open_store
 
 FORMAT = "chunked"
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 #: Decoded bytes of a partition.
 MAX_PARTITION_BYTES = 64 << 20
+#: Chunks that a task has in flight, and what decoding them may take at its worst.
+CONCURRENCY, IN_FLIGHT_BYTES = 50, 64 << 20
 
 _EVENTS = "key string, chunk_coord array<bigint>, missing boolean, cached boolean, fetched_bytes bigint, range_offset bigint, cells bigint, decode_ms double, fetch_ms double"
 _CHUNKS = "key string, chunk_coord array<bigint>, nbytes bigint, raw binary"
@@ -48,8 +58,12 @@ _CHUNKS = "key string, chunk_coord array<bigint>, nbytes bigint, raw binary"
 _WORKER_CACHE: dict[int, MemoryCache] = {}
 
 
-def pack(handles: dict[str, Handle]) -> str:
-    return base64.b64encode(cloudpickle.dumps(handles)).decode()
+def pack(what: dict[str, Handle] | Hooks) -> str:
+    return base64.b64encode(cloudpickle.dumps(what)).decode()
+
+
+def unpack(text: str):
+    return cloudpickle.loads(base64.b64decode(text))
 
 
 @dataclass
@@ -76,7 +90,7 @@ class ChunkedSource(DataSource):
     def handles(self) -> dict[str, Handle]:
         if self._handles is None:
             if "handles" in self.options:
-                self._handles = cloudpickle.loads(base64.b64decode(self.options["handles"]))
+                self._handles = unpack(self.options["handles"])
             else:
                 from chunkwright.operators.array import open_handle
 
@@ -116,6 +130,7 @@ class ChunkedReader(DataSourceReader):
         self.meta = next(iter(handles.values())).meta
         selection = json.loads(options["selection"]) if "selection" in options else None
         self.box: Box = indexing.normalize(selection, self.meta.shape)
+        self.only: dict[int, list[int]] = {}  # sorted indices of a dimension that alone are wanted
         if options.get("bounds", "fill") == "error" and any(a < 0 or b > n for (a, b), n in zip(self.box, self.meta.shape, strict=True)):
             raise SliceError(f"the selection {self.box} leaves the shape {self.meta.shape}")
 
@@ -137,22 +152,37 @@ class ChunkedReader(DataSourceReader):
         layout, handles = self.options.get("layout", "cells"), list(self.named.values())
         limit = int(self.options.get("memory_cache_bytes", 0))
         cache = _WORKER_CACHE.setdefault(limit, MemoryCache(limit)) if limit else None
-        scopes = [derive_store_id(h.store) or getattr(h.store, "path", "") or getattr(h.store, "uri", "") or str(id(h.store)) for h in handles]
-        options = [ReadOptions(strict=self.options.get("strict", "false").lower() == "true", byte_range=self.options.get("byte_range", "auto") != "off", memory_cache=cache, cache_scope=s) for s in scopes]
+        hooks = unpack(self.options["hooks"]) if "hooks" in self.options else None
+        strict, byte_range = self.options.get("strict", "false").lower() == "true", self.options.get("byte_range", "auto") != "off"
+        options = [ReadOptions(strict=strict, byte_range=byte_range, memory_cache=cache, cache_scope=h.scope, hooks=hooks) for h in handles]
         decoders = [h.decoder() for h in handles]
         names = [f"i{d}" for d in range(len(self.meta.shape))] + list(self.named)
         kinds = [h.meta.element() for h in handles]
-        for n in range(partition.first, partition.last):
-            at = indexing.nth_coordinate(grid, n)
-            if layout == "chunks":
-                for h in handles:
-                    if (raw := h.store.get(h.key(at))) is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([h.key(at)]), pa.array([list(at)], pa.list_(pa.int64())), pa.array([len(raw)], pa.int64()), pa.array([raw], pa.binary())], names=["key", "chunk_coord", "nbytes", "raw"])
-                continue
+        budget, cost = float(self.options.get("max_in_flight_bytes", IN_FLIGHT_BYTES)), sum(peak_bytes(h.meta) for h in handles)
+        window = max(1, min(int(self.options.get("concurrency", CONCURRENCY)), int(budget // max(1, cost)), partition.last - partition.first))
+        limiter = ByteLimiter(budget, hooks and hooks.in_flight)
+
+        def raw_chunks(at: tuple[int, ...]) -> list[tuple[str, bytes | None]]:
+            return [(h.key(at), h.store.get(h.key(at))) for h in handles]
+
+        def decoded(at: tuple[int, ...]) -> tuple[tuple[int, ...], list[Chunk], float]:
             began = time.perf_counter()
-            chunks = [read_chunk(h, at, self.box, o, d) for h, o, d in zip(handles, options, decoders, strict=True)]
+            limiter.acquire(cost)
+            try:
+                chunks = [read_chunk(h, at, self.box, o, d) for h, o, d in zip(handles, options, decoders, strict=True)]
+            finally:
+                limiter.release(cost)
+            return at, chunks, (time.perf_counter() - began) * 1000
+
+        coordinates = [at for at in (indexing.nth_coordinate(grid, n) for n in range(partition.first, partition.last)) if self._wanted(at)]
+        if layout == "chunks":
+            for at, found in zip(coordinates, prefetched(raw_chunks, coordinates, window), strict=True):
+                for key, raw in found:
+                    if raw is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([list(at)], pa.list_(pa.int64())), pa.array([len(raw)], pa.int64()), pa.array([raw], pa.binary())], names=["key", "chunk_coord", "nbytes", "raw"])
+            return
+        for at, chunks, took in prefetched(decoded, coordinates, window):
             if layout == "events":
-                took = (time.perf_counter() - began) * 1000
                 rows = [(c.key, list(at), c.missing, c.cached, c.fetched, c.offset, c.values.size, c.decode_ms, took) for c in chunks]
                 types = [pa.string(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in _EVENTS.split(", ")])
@@ -160,6 +190,15 @@ class ChunkedReader(DataSourceReader):
                 yield from cell_batches(chunks[0], kinds, [c.values for c in chunks], names)
 
 
+    def _wanted(self, at: tuple[int, ...]) -> bool:
+        """Whether a chunk holds one of the wanted indices in each dimension that names them."""
+        for d, values in self.only.items():
+            k = bisect_left(values, at[d] * self.meta.chunks[d])
+            if k == len(values) or values[k] >= (at[d] + 1) * self.meta.chunks[d]:
+                return False
+        return True
+
+
 class PushingReader(ChunkedReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         """Shrink the box; every filter goes back to Spark, which applies it to the rows."""
@@ -167,6 +206,8 @@ class PushingReader(ChunkedReader):
             d = self._dimension(f)
             if d is not None:
                 self.box[d] = self._narrowed(f, *self.box[d])
+                if isinstance(f, In) and all(isinstance(v, int) for v in f.value):
+                    self.only[d] = sorted(set(f.value) & set(self.only.get(d, f.value)))
             yield f
 
     def _dimension(self, f: Filter) -> int | None:

@@ -6,6 +6,7 @@ its connections where it is used.
 
 from __future__ import annotations
 
+import http.client
 import os
 import threading
 import time
@@ -15,9 +16,11 @@ import urllib.request
 import uuid
 import warnings
 from abc import ABC, abstractmethod
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 
 from chunkwright.errors import ArrayError, StoreError, UnsupportedOperationError
@@ -27,6 +30,10 @@ from chunkwright.sources.hooks import Hooks, fire
 from chunkwright.sources.retry import MAX_RETRIES, TIMEOUT_MS, with_retries
 
 
+#: Requests to one host at a time.
+MAX_CONNECTIONS = 50
+
+
 @dataclass(frozen=True)
 class Head:
     """A key's version: what is known of etag, last_modified (seconds) and size."""
@@ -190,18 +197,34 @@ class ArrowStore(Store):
 
 
 class S3Store(ArrowStore):
-    """A bucket and prefix; with an endpoint, keys are addressed by path."""
+    """A bucket and prefix; with an endpoint, keys are addressed by path.
+
+    Arrow keeps the connections open. ``max_connections`` raises the number of threads that it reads with in this process.
+    """
 
     def __init__(
-        self, bucket: str, prefix: str = "", region: str | None = None, endpoint: str | None = None, anonymous: bool = False, connect_timeout_ms: int = 3000, request_timeout_ms: int = TIMEOUT_MS, max_retries: int = MAX_RETRIES, warm_on_create: bool = False, hooks: Hooks | None = None
+        self,
+        bucket: str,
+        prefix: str = "",
+        region: str | None = None,
+        endpoint: str | None = None,
+        anonymous: bool = False,
+        connect_timeout_ms: int = 3000,
+        request_timeout_ms: int = TIMEOUT_MS,
+        max_retries: int = MAX_RETRIES,
+        warm_on_create: bool = False,
+        hooks: Hooks | None = None,
+        max_connections: int = MAX_CONNECTIONS,
     ):
         super().__init__(f"s3://{bucket}/{prefix}", hooks)
         self.bucket, self.prefix, self.region, self.endpoint, self.anonymous = bucket, prefix.strip("/"), region, endpoint, anonymous
         self.connect_timeout_ms, self.request_timeout_ms, self.max_retries = connect_timeout_ms, request_timeout_ms, max_retries
+        self.max_connections = max_connections
         if warm_on_create:
             threading.Thread(target=self.prewarm, daemon=True).start()
 
     def _connect(self) -> tuple[pafs.FileSystem, str]:
+        pa.set_io_thread_count(max(pa.io_thread_count(), self.max_connections))
         scheme, _, host = (self.endpoint or "").rpartition("://")
         options = {"region": self.region, "endpoint_override": host or None, "scheme": scheme or None, "anonymous": self.anonymous, "connect_timeout": self.connect_timeout_ms / 1000, "request_timeout": self.request_timeout_ms / 1000}
         filesystem = pafs.S3FileSystem(force_virtual_addressing=False, **{k: v for k, v in options.items() if v is not None})
@@ -215,21 +238,96 @@ class S3Store(ArrowStore):
             return
 
 
+class _Connections:
+    """Connections to one host: at most so many at a time, and those that the server leaves open are used again."""
+
+    def __init__(self, url: str, timeout_s: float, most: int, keep_alive: bool):
+        self.parts, self.timeout_s, self.keep_alive = urllib.parse.urlsplit(url), timeout_s, keep_alive
+        self._idle: deque[http.client.HTTPConnection] = deque()
+        self._slots = threading.BoundedSemaphore(most)
+
+    def _fresh(self) -> http.client.HTTPConnection:
+        kind = http.client.HTTPSConnection if self.parts.scheme == "https" else http.client.HTTPConnection
+        return kind(self.parts.netloc, timeout=self.timeout_s)
+
+    def send(self, method: str, target: str, headers: dict[str, str]) -> tuple[int, dict[str, str], bytes]:
+        with self._slots:
+            try:
+                connection, used = self._idle.pop(), True
+            except IndexError:
+                connection, used = self._fresh(), False
+            while True:
+                try:
+                    connection.request(method, target, headers=headers)
+                    answer = connection.getresponse()
+                    found = answer.status, dict(answer.headers), answer.read()
+                    break
+                except BaseException as error:
+                    connection.close()
+                    if not used or not isinstance(error, http.client.RemoteDisconnected | ConnectionResetError | BrokenPipeError):
+                        raise
+                    connection, used = self._fresh(), False  # the server had closed it meanwhile
+            if self.keep_alive and not answer.will_close:
+                self._idle.append(connection)
+            else:
+                connection.close()
+            return found
+
+
 class HttpStore(Store):
-    """Keys below a base URL. It can't list; ``has`` is false where a request fails."""
+    """Keys below a base URL. It can't list; ``has`` is false where a request fails.
 
-    def __init__(self, url: str, timeout_ms: float = TIMEOUT_MS, headers: dict[str, str] | None = None, max_retries: int = MAX_RETRIES, hooks: Hooks | None = None, base_delay_ms: float = 100):
+    Up to ``max_connections`` requests run at a time, over connections that stay open unless ``keep_alive`` is off.
+    """
+
+    def __init__(
+        self,
+        url: str,
+        timeout_ms: float = TIMEOUT_MS,
+        headers: dict[str, str] | None = None,
+        max_retries: int = MAX_RETRIES,
+        hooks: Hooks | None = None,
+        base_delay_ms: float = 100,
+        max_connections: int = MAX_CONNECTIONS,
+        keep_alive: bool = True,
+    ):
         self.base_url, self.timeout_ms, self.headers = url.rstrip("/"), timeout_ms, headers or {}
         self.max_retries, self.hooks, self.base_delay_ms = max_retries, hooks, base_delay_ms
+        self.max_connections, self.keep_alive = max_connections, keep_alive
+        self._connections: _Connections | None = None
+        self._guard = threading.Lock()
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_connections": None, "_guard": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, _guard=threading.Lock())
+
+    def _pool(self) -> _Connections:
+        with self._guard:
+            if self._connections is None:
+                self._connections = _Connections(self.base_url, self.timeout_ms / 1000, self.max_connections, self.keep_alive)
+            return self._connections
+
+    def _answer(self, url: str, method: str, headers: dict[str, str]) -> tuple[int, dict[str, str], bytes]:
+        parts = urllib.parse.urlsplit(url)
+        if urllib.request.getproxies().get(parts.scheme) and not urllib.request.proxy_bypass(parts.netloc):
+            status = 300  # proxies are the library's business
+        else:
+            status, fields, body = self._pool().send(method, urllib.parse.urlunsplit(("", "", parts.path, parts.query, "")), headers)
+        if 300 <= status < 400:  # so are redirects
+            with urllib.request.urlopen(urllib.request.Request(url, method=method, headers=headers), timeout=self.timeout_ms / 1000) as answer:
+                return answer.status, dict(answer.headers), answer.read()
+        if status >= 400:
+            raise urllib.error.HTTPError(url, status, http.client.responses.get(status, ""), None, None)
+        return status, fields, body
 
     def _request(self, key: str, method: str = "GET", extra: dict[str, str] | None = None):
         url = f"{self.base_url}/{urllib.parse.quote(key)}"
-        request = urllib.request.Request(url, method=method, headers={**self.headers, **(extra or {})})
 
         def send():
             try:
-                with urllib.request.urlopen(request, timeout=self.timeout_ms / 1000) as answer:
-                    return answer.status, dict(answer.headers), answer.read()
+                return self._answer(url, method, {**self.headers, **(extra or {})})
             except urllib.error.HTTPError as error:
                 if error.code == 404:
                     return None

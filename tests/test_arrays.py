@@ -1,7 +1,9 @@
 import json
 import threading
+import time
+import urllib.parse
 import zlib
-from http.server import BaseHTTPRequestHandler, HTTPServer
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
 import pytest
@@ -14,7 +16,7 @@ from chunkwright.sources import source
 from chunkwright.sources.caches import ABSENT, Cache, DiskCache, InMemoryCache, MemoryCache, RedisCache
 from chunkwright.sources.hooks import Hooks
 from chunkwright.sources.reader import ReadOptions
-from chunkwright.sources.stores import CachedStore, FileSystemStore, HttpStore, MemoryStore, ReferenceStore, Store, derive_store_id, open_store
+from chunkwright.sources.stores import CachedStore, FileSystemStore, HttpStore, MemoryStore, ReferenceStore, S3Store, Store, derive_store_id, open_store
 
 
 def encoded(values, chunks, dtype, path="", order="C", compressor=None, fill_value=0, separator=".", skip=(), padding=0x7F, attrs=None):
@@ -131,6 +133,8 @@ def test_filters_on_index_columns_prune_chunks(spark, tmp_path):
             (tmp_path / str(n)).write_bytes(b"broken")  # reading any other chunk would fail
     assert sorted(r.i0 for r in plan.collect()) == list(range(500, 520))
     assert [r.value for r in a.get().where("i0 in (503, 511)").orderBy("i0").collect()] == [503, 511]
+    (tmp_path / "70").write_bytes(np.arange(700, 710, dtype="<f8").tobytes())
+    assert [r.value for r in a.get().where("i0 in (503, 705, 5000)").orderBy("i0").collect()] == [503, 705]
     assert a.get().where("i0 = 505 and value > 600").count() == 0
     with pytest.raises(Exception, match="6 bytes where 8"):
         a.get([600]).collect()
@@ -301,19 +305,26 @@ def test_store_names():
 
 
 class Handler(BaseHTTPRequestHandler):
-    data, fails, log, whole = {}, [], [], False
+    data, fails, log, whole, ports = {}, [], [], False, []
+    protocol_version = "HTTP/1.1"
+
+    def empty(self, status, **fields):
+        self.send_response(status)
+        self.send_header("Content-Length", "0")
+        for k, v in fields.items():
+            self.send_header(k, v)
+        self.end_headers()
 
     def do_GET(self):
         self.log.append((self.command, self.path, self.headers.get("Range"), self.headers.get("X-Key")))
+        self.ports.append(self.client_address[1])
         if self.fails:
-            self.send_response(self.fails.pop())
-            self.end_headers()
-            return
+            return self.empty(self.fails.pop())
         body = self.data.get(self.path.lstrip("/"))
         if body is None:
-            self.send_response(404)
-            self.end_headers()
-            return
+            return self.empty(404)
+        if isinstance(body, str):
+            return self.empty(302, Location=f"/{body}")
         wanted = self.headers.get("Range")
         if wanted and not self.whole:
             a, b = map(int, wanted.removeprefix("bytes=").split("-"))
@@ -334,7 +345,7 @@ class Handler(BaseHTTPRequestHandler):
 @pytest.fixture
 def server():
     Handler.data, Handler.fails, Handler.log, Handler.whole = {}, [], [], False
-    http = HTTPServer(("127.0.0.1", 0), Handler)
+    http = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=http.serve_forever, daemon=True).start()
     yield f"http://127.0.0.1:{http.server_port}", Handler
     http.shutdown()
@@ -368,6 +379,141 @@ def test_http_store(server, spark):
     assert ("GET", "/0.0", "bytes=32-95", None) in handler.log
 
 
+def test_http_connections_stay_open_and_are_bounded(server):
+    url, handler = server
+    handler.data["k"] = b"x" * 10
+    ports = handler.ports
+    ports.clear()
+    s = HttpStore(url, max_connections=1)
+    assert [s.get("k") for _ in range(5)] == [b"x" * 10] * 5 and len(set(ports)) == 1
+    ports.clear()
+    s = HttpStore(url, keep_alive=False)
+    assert [s.get("k") for _ in range(3)] == [b"x" * 10] * 3 and len(set(ports)) == 3
+    handler.data["moved"] = "k"
+    assert s.get("moved") == b"x" * 10
+
+
+class Slow(MemoryStore):
+    """Every chunk takes a while, as from far away."""
+
+    def get(self, key):
+        if key[-1].isdigit():
+            time.sleep(0.05)
+        return super().get(key)
+
+
+def test_a_task_fetches_ahead(spark):
+    values = np.arange(200, dtype="<i4")
+    a = arrays.open_array(spark, Slow(encoded(values, [2], "<i4", compressor={"id": "zlib"})))
+    want = {(i,): i for i in range(200)}
+    assert rows(a.get([[0, 2]]), 1)  # the worker is up
+    took = {}
+    for n in (1, 50):
+        began = time.perf_counter()
+        assert rows(a.get(min_partitions=1, max_partition_bytes=1 << 30, concurrency=n), 1) == want
+        took[n] = time.perf_counter() - began
+    assert took[1] > 5 and took[50] < took[1] / 8
+    began = time.perf_counter()  # the budget holds two chunks at a time
+    assert rows(a.get(min_partitions=1, max_partition_bytes=1 << 30, max_in_flight_bytes=2 * 16), 1) == want
+    assert time.perf_counter() - began > 2.4
+
+
+def test_an_error_ahead_stops_the_read(spark):
+    data = encoded(np.arange(40, dtype="<i4"), [2], "<i4")
+    data["7"] = b"short"
+    with pytest.raises(Exception, match="bytes for a chunk"):
+        arrays.open_array(spark, Slow(data)).get(min_partitions=1, byte_range="off").collect()
+
+
+def test_unnamed_stores_share_no_cached_chunks(spark):
+    """Workers live on between reads, and what they keep of one store must not serve another."""
+    for k in range(12):
+        values = np.arange(6, dtype="<i4") + 1000 * k
+        a = arrays.open_array(spark, MemoryStore(encoded(values, [3], "<i4", compressor={"id": "zlib"})))
+        for _ in range(2):
+            assert rows(a.get(memory_cache_bytes=1 << 20, min_partitions=1), 1) == {(i,): int(v) for i, v in enumerate(values)}
+
+
+def test_an_overwritten_store_is_read_afresh(spark, tmp_path):
+    for k in range(3):
+        values = np.arange(6, dtype="<i4") + 1000 * k
+        for key, data in encoded(values, [3], "<i4", compressor={"id": "zlib"}).items():
+            (tmp_path / key).write_bytes(data)
+        a = arrays.open_array(spark, str(tmp_path))
+        assert rows(a.get(memory_cache_bytes=1 << 20, min_partitions=1), 1) == {(i,): int(v) for i, v in enumerate(values)}
+
+
+def test_hooks_and_warnings_reach_spark_reads(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def note(event):
+        with open(log, "a") as out:
+            out.write(f"{json.dumps(event)}\n")
+
+    store = MemoryStore(encoded(np.arange(8, dtype="<i4"), [4], "<i4", compressor={"id": "zlib"}) | {"g/.zgroup": b'{"zarr_format": 2}'})
+    a = arrays.open_array(spark, store)
+    assert len(a.get(hooks=Hooks(chunk_decoded=note, in_flight=note)).collect()) == 8
+    seen = [json.loads(line) for line in open(log)]
+    assert sum(isinstance(e, dict) and e["codec"] == "zlib" for e in seen) == 2 and any(isinstance(e, (int, float)) and e > 0 for e in seen)
+    with pytest.warns(UserWarning, match="32 bytes"):
+        a.get(large_read_warning_bytes=20)
+
+
+class S3Handler(Handler):
+    """As much of the protocol as reading takes: objects with ranges, and one page of a listing."""
+
+    def do_GET(self):
+        path, _, query = self.path.partition("?")
+        if "list-type" in query or (self.command == "GET" and path.strip("/") == "bucket"):
+            prefix = urllib.parse.unquote(dict(p.partition("=")[::2] for p in query.split("&")).get("prefix", ""))
+            keys = sorted(k for k in self.data if k.startswith(prefix))
+            items = "".join(f"<Contents><Key>{k}</Key><Size>{len(self.data[k])}</Size><LastModified>2024-01-01T00:00:00.000Z</LastModified></Contents>" for k in keys)
+            body = f'<?xml version="1.0"?><ListBucketResult><Name>bucket</Name><KeyCount>{len(keys)}</KeyCount><IsTruncated>false</IsTruncated>{items}</ListBucketResult>'.encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+            return
+        body = self.data.get(path.removeprefix("/bucket/"))
+        self.log.append((self.command, path, self.headers.get("Range")))
+        if body is None:
+            self.send_response(404)
+            self.send_header("Content-Length", "0")
+            self.end_headers()
+            return
+        wanted = self.headers.get("Range")
+        a, b = map(int, wanted.removeprefix("bytes=").split("-")) if wanted else (0, len(body) - 1)
+        self.send_response(206 if wanted else 200)
+        part = body[a : b + 1]
+        self.send_header("Content-Length", str(len(part)))
+        if wanted:
+            self.send_header("Content-Range", f"bytes {a}-{a + len(part) - 1}/{len(body)}")
+        self.send_header("Last-Modified", "Mon, 01 Jan 2024 00:00:00 GMT")
+        self.end_headers()
+        if self.command == "GET":
+            self.wfile.write(part)
+
+    do_HEAD = do_GET
+
+
+def test_s3_store(spark):
+    S3Handler.data, S3Handler.log = {f"run/{k}": v for k, v in encoded(PADDED, [4, 8], "<i4").items()}, []
+    http = ThreadingHTTPServer(("127.0.0.1", 0), S3Handler)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    try:
+        s = S3Store("bucket", "run", region="us-east-1", endpoint=f"http://127.0.0.1:{http.server_port}", anonymous=True, warm_on_create=True, max_connections=16)
+        assert s.get("0.0") == S3Handler.data["run/0.0"] and s.get("no") is None and s.has("0.0") and not s.has("no")
+        assert s.get_range("0.0", 4, 8) == S3Handler.data["run/0.0"][4:12] and s.head("0.0").size == len(S3Handler.data["run/0.0"]) and s.head("no") is None
+        assert set(s.list("")) == {k.removeprefix("run/") for k in S3Handler.data}
+        s.prewarm()
+        a = arrays.open_array(spark, s)
+        assert rows(a.get([[1, 3], None]), 2) == as_dict(PADDED[1:3], (1, 0))
+        assert any(method == "GET" and wanted == "bytes=32-95" for method, _, wanted in S3Handler.log)
+        assert derive_store_id(s) == f"s3://bucket/run?endpoint=http://127.0.0.1:{http.server_port}"
+    finally:
+        http.shutdown()
+
+
 def test_reference_store(tmp_path, spark, server):
     (tmp_path / "data").write_bytes(np.arange(10, dtype="<f4").tobytes())
     document = json.dumps(fixtures.array_document([15], [5], "<f4"))
@@ -443,10 +589,34 @@ def test_nearest_cells(spark):
     table = spark.createDataFrame([(n, *p) for n, p in enumerate(points)], "id long, lat double, lon double")
     for result in (wild.nearest_many(table), spatial.nearest_join(table, wild.to_df(spark))):
         assert {r.id: (r.i, r.j) for r in result.collect()} == {n: brute_nearest(wild, *p)[:2] for n, p in enumerate(points)}
+    odd = spark.createDataFrame([(0, 89.9999, 7.0), (1, -90.0, 3.0), (2, 500.0, 0.0), (3, None, 1.0), (4, float("nan"), 1.0)], "id long, lat double, lon double")
+    joined = {r.id: (r.i, r.j) for r in spatial.nearest_join(odd, wild.to_df(spark)).collect()}
+    assert joined == {r.id: (r.i, r.j) for r in wild.nearest_many(odd).collect()} and joined[3] == joined[4] == (0, 0)
+    assert [joined[n] for n in range(3)] == [brute_nearest(wild, *p)[:2] for p in ((89.9999, 7.0), (-90.0, 3.0), (500.0, 0.0))]
     nothing = spatial.GridIndex.from_coordinates([float("nan")] * 4, [0.0] * 4, 2, 2).nearest(1, 1)
     assert (nothing.i, nothing.j, nothing.distance_km) == (0, 0, float("inf"))
 
 
+def test_a_large_curvilinear_grid(spark, monkeypatch):
+    ny, nx = 300, 400
+    i, j = np.meshgrid(np.arange(ny), np.arange(nx), indexing="ij")
+    lat, lon = -35 + i * 0.09 + np.sin(j / 60), -60 + j * 0.09 + np.cos(i / 50)
+    grid = spatial.GridIndex.from_coordinates(lat, lon, ny, nx)
+    rng = np.random.default_rng(5)
+    targets = np.column_stack([rng.uniform(-40, 0, 400), rng.uniform(-65, -15, 400)])
+    a, b, km = grid.nearest_of(targets[:, 0], targets[:, 1])
+    for p, x, y, d in zip(targets, a, b, km, strict=True):
+        want = brute_nearest(grid, *p)
+        assert (x, y) == want[:2] and d == pytest.approx(want[2])
+    data = {".zgroup": b'{"zarr_format": 2}'} | encoded(lat, [100, 150], "<f4", "lat") | encoded(lon, [100, 150], "<f4", "lon")
+    group = arrays.open_group(spark, MemoryStore(data))
+    table = spark.createDataFrame([(n, float(p[0]), float(p[1])) for n, p in enumerate(targets[:100])], "id long, lat double, lon double")
+    small = spatial.nearest_cells(group, table).orderBy("id").collect()
+    monkeypatch.setattr(spatial, "BROADCAST_BYTES", 1000)
+    assert [(r.id, r.i, r.j) for r in spatial.nearest_cells(group, table).orderBy("id").collect()] == [(r.id, r.i, r.j) for r in small]
+    assert [(r.i, r.j) for r in small] == list(zip(a[:100].tolist(), b[:100].tolist(), strict=True))
+
+
 def test_grid_snapshots_and_keys(spark):
     grid = spatial.GridIndex.from_group(grid_group(spark))
     data = grid.to_bytes()
@@ -471,7 +641,7 @@ def test_grid_snapshots_and_keys(spark):
         spatial.GridIndex.load_cached(grid_group(spark))
 
 
-def test_point_series_labels_and_points(spark):
+def test_point_series_labels_and_points(spark, monkeypatch):
     values = np.arange(2 * 1 * 3 * 4, dtype="<f8").reshape(2, 1, 3, 4)
     data = {".zgroup": b'{"zarr_format": 2}'} | encoded(values, [1, 1, 2, 2], "<f8", "v", attrs={"_ARRAY_DIMENSIONS": ["time", "z", "y", "x"]})
     data |= encoded(np.array([10, 20, 30], "<f4"), [3], "<f4", "y") | encoded(np.array([0, 5, 9, 12], "<f4"), [4], "<f4", "x")
@@ -479,6 +649,14 @@ def test_point_series_labels_and_points(spark):
     assert [r.value for r in g.get_array("v").point_series(1, 2).orderBy("i0").collect()] == values[:, 0, 1, 2].tolist()
     found = spatial.select_labels(g, {"y": 21.0, "x": 11.0})
     assert list(found) == ["v"] and [r.value for r in found["v"].orderBy("i0").collect()] == values[:, 0, 1, 3].tolist()
+    monkeypatch.setattr(spatial, "LOCAL_LABELS", 2)
+    assert [r.value for r in spatial.select_labels(g, {"y": 21.0, "x": 11.0}, ["v"])["v"].orderBy("i0").collect()] == values[:, 0, 1, 3].tolist()
+    lat, lon = np.meshgrid([10, 20, 30], [0, 5, 9, 12], indexing="ij")
+    data |= encoded(lat, [3, 4], "<f4", "lat", attrs={"_ARRAY_DIMENSIONS": ["y", "x"]}) | encoded(lon, [3, 4], "<f4", "lon", attrs={"_ARRAY_DIMENSIONS": ["y", "x"]})
+    found = spatial.select_labels(arrays.open_group(spark, MemoryStore(data)), {"lat": 21.0, "lon": 8.0})
+    assert list(found) == ["v"] and [r.value for r in found["v"].orderBy("i0").collect()] == values[:, 0, 1, 2].tolist()
+    with pytest.raises(SliceError):
+        spatial.select_labels(arrays.open_group(spark, MemoryStore(data)), {"lat": 21.0})
     best = spatial.nearest_1d(g.get_array("y").get(), g.get_array("y").get(), (19.0, 19.0)).first()
     assert best.point == 1
 
