@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import os
+import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkwright.errors import ArrayError, MissingChunkError
 from chunkwright.functions.codecs import codec_registry
-from chunkwright.functions.metadata import ARRAY_DOC, ATTRS_DOC, GROUP_DOC
+from chunkwright.functions.metadata import ARRAY_DOC, ATTRS_DOC, GROUP_DOC, parse_array
 from chunkwright.operators import array as arrays
 from chunkwright.operators import spatial
-from chunkwright.plans import fixtures
+from chunkwright.operators.session import DatasetRegistry, RegistryOptions
+from chunkwright.plans import fixtures, serving
 from chunkwright.runtime import read_table
 from chunkwright.sources import source
-from chunkwright.sources.stores import ReferenceStore
+from chunkwright.sources.caches import InMemoryCache, MemoryCache
+from chunkwright.sources.hooks import Hooks
+from chunkwright.sources.reader import ReadOptions, peak_bytes
+from chunkwright.sources.stores import CachedStore, HttpStore, ReferenceStore, Store, derive_store_id, open_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,12 +72,13 @@ def _embeddings(spark: SparkSession, sf_dir: str, name: str = "embeddings", **op
 
 
 def _events(spark: SparkSession, sf_dir: str) -> arrays.Group:
-    """A group: value [n / 100, 10, 10] by event_id, and a curvilinear grid [10, 10]."""
+    """A group: value [n / 100, 10, 10] by event_id, the last step filled up with -1, and a curvilinear grid [10, 10]."""
 
     def build(folder: str) -> None:
-        events = read_table(spark, sf_dir, "events")
-        n = events.count() // 100
-        cells = events.where(F.col("event_id") < n * 100).select(F.expr("event_id div 100").alias("i0"), F.expr("(event_id div 10) % 10").alias("i1"), F.expr("event_id % 10").alias("i2"), "value")
+        events = read_table(spark, sf_dir, "events").select("event_id", "value")
+        n = -(-events.count() // 100)
+        every = spark.range(n * 100).withColumnRenamed("id", "event_id").join(events, "event_id", "left")
+        cells = every.select(F.expr("event_id div 100").alias("i0"), F.expr("(event_id div 10) % 10").alias("i1"), F.expr("event_id % 10").alias("i2"), F.coalesce("value", F.lit(-1.0)).alias("value"))
         fixtures.encode_array(cells, folder, "value", [n, 10, 10], [16, 4, 4], "<f8", attrs={"_ARRAY_DIMENSIONS": ["time", "y", "x"]})
         grid = spark.range(100).select(F.expr("id div 10").alias("i0"), F.expr("id % 10").alias("i1"))
         fixtures.encode_array(grid.withColumn("value", F.expr("i0 * 2.5 + i1 * 0.25")), folder, "lat", [10, 10], [4, 4], "<f4")
@@ -96,7 +106,7 @@ def _orders_group(spark: SparkSession, sf_dir: str) -> str:
 
 _ALL_PRICES = "SELECT o_orderkey::BIGINT AS i0, o_totalprice AS value FROM orders"
 _ALL_EMBEDDINGS = "SELECT vec_id::BIGINT AS i0, r.i AS i1, embedding[r.i + 1] AS value FROM embeddings, range(64) r(i)"
-_ALL_EVENTS = "SELECT event_id // 100 AS i0, (event_id // 10) % 10 AS i1, event_id % 10 AS i2, value FROM events WHERE event_id < (SELECT count(*) // 100 * 100 FROM events)"
+_ALL_EVENTS = "SELECT r.i // 100 AS i0, (r.i // 10) % 10 AS i1, r.i % 10 AS i2, coalesce(value, -1.0) AS value FROM range((SELECT (count(*) + 99) // 100 * 100 FROM events)) r(i) LEFT JOIN events ON event_id = r.i"
 
 # selections
 
@@ -121,6 +131,11 @@ def _(spark, sf_dir):
     return _array_1d(spark, sf_dir).get().where("i0 >= 990 AND i0 < 1010")
 
 
+@query("array_filter_values", f"{_ALL_PRICES} WHERE o_orderkey IN (5, 1003, 1004, 999999999)")
+def _(spark, sf_dir):
+    return _array_1d(spark, sf_dir).get().where("i0 IN (5, 1003, 1004, 999999999)")
+
+
 @query("array_sql_view", f"SELECT i0 // 1000 AS block, count(*) AS n, max(value) AS highest FROM ({_ALL_PRICES}) GROUP BY block")
 def _(spark, sf_dir):
     _array_1d(spark, sf_dir).get().createOrReplaceTempView("prices_array")
@@ -194,6 +209,7 @@ _decoding("gzip", "orders", "o_orderkey", "o_totalprice", "<f8", "o_totalprice",
 for _inner in ("lz4", "zstd", "snappy", "zlib"):
     _decoding(f"blosc_{_inner}", "orders", "o_orderkey", "o_totalprice", "<f8", "o_totalprice", compressor={"id": "blosc", "cname": _inner, "shuffle": 1})
 _decoding("blosc_bitshuffle", "orders", "o_orderkey", "o_totalprice", "<f8", "o_totalprice", compressor={"id": "blosc", "cname": "lz4", "shuffle": 2, "shuffle_name": "bit"})
+_decoding("blosc_split", "orders", "o_orderkey", "o_totalprice", "<f8", "o_totalprice", compressor={"id": "blosc", "cname": "lz4", "shuffle": 1, "split": True})
 _decoding("int64", "events", "event_id", "user_id", "<i8", "user_id::BIGINT")
 _decoding("int64_big_endian", "events", "event_id", "user_id", ">i8", "user_id::BIGINT", compressor={"id": "zlib"})
 _decoding("int32", "part", "p_partkey", "p_size", "<i4", "p_size::INTEGER")
@@ -230,20 +246,195 @@ _filled("null", None, "0.0")
 _filled("infinity", "-Infinity", "'-inf'::DOUBLE")
 
 
-@query("decoded_array_f64", "SELECT p_partkey::BIGINT AS i0, p_size::DOUBLE AS value FROM part")
-def _(spark, sf_dir):
-    from chunkwright.operators.session import DatasetRegistry
-    from chunkwright.sources.stores import open_store
-
+def _parts(spark: SparkSession, sf_dir: str) -> str:
     def build(folder: str) -> None:
         cells = _cells_1d(spark, sf_dir, "part", "p_partkey", "p_size")
         fixtures.encode_array(cells, folder, "size", [cells.count()], [512], "<i4")
         fixtures.write_bytes(folder, GROUP_DOC, b'{"zarr_format": 2}')
 
-    folder = fixtures.once(spark, sf_dir, "part-group", build)
+    return fixtures.once(spark, sf_dir, "part-group", build)
+
+
+def _indexed(spark: SparkSession, values: np.ndarray) -> DataFrame:
+    return spark.createDataFrame(pa.table({"i0": np.arange(len(values)), "value": values}))
+
+
+@query("decoded_array_f64", "SELECT p_partkey::BIGINT AS i0, p_size::DOUBLE AS value FROM part")
+def _(spark, sf_dir):
+    """From the shared cache, which another session's read has filled."""
+    folder, shared = _parts(spark, sf_dir), InMemoryCache(64 << 20)
+    for _ in range(2):
+        dataset = DatasetRegistry(spark, RegistryOptions(coordinate_cache=shared)).open(folder, lambda: open_store(folder))
+        values = dataset.decoded_array("size", cache_key=folder)
+    return _indexed(spark, values)
+
+
+@query("decoded_array_rows", "SELECT p_partkey::BIGINT AS i0, p_size::DOUBLE AS value FROM part")
+def _(spark, sf_dir):
+    folder = _parts(spark, sf_dir)
     return DatasetRegistry(spark).open(folder, lambda: open_store(folder)).decoded_df("size")
 
 
+@query("dataset_read", "SELECT p_partkey::BIGINT AS i0, p_size::INTEGER AS value FROM part WHERE p_partkey >= 100 AND p_partkey < 700")
+def _(spark, sf_dir):
+    folder = _parts(spark, sf_dir)
+    options = RegistryOptions(chunk_memory_cache_bytes=1 << 20, hooks=Hooks(cache_hit=lambda event: None))
+    return DatasetRegistry(spark, options).open(folder, lambda: open_store(folder)).read("size", [[100, 700]])
+
+
+@query("local_read", "SELECT p_partkey::BIGINT AS i0, p_size::DOUBLE AS value FROM part WHERE p_partkey >= 10 AND p_partkey < 150")
+def _(spark, sf_dir):
+    """A small array in the driver: eight threads under a budget of a few chunks."""
+    array = arrays.open_array(spark, _parts(spark, sf_dir), "size")
+    options = ReadOptions(concurrency=8, max_in_flight_bytes=3 * peak_bytes(array.handle.meta), large_read_warning_bytes=float("inf"))
+    found = array.to_numpy([[10, 150]], options)
+    return _indexed(spark, found.astype(float)).withColumn("i0", F.col("i0") + 10)
+
+
+# stores and caches
+
+
+@query("store_http", _ALL_PRICES)
+def _(spark, sf_dir):
+    url = serving.serve(spark, _store_1d(spark, sf_dir, "prices", "orders", "o_orderkey", "o_totalprice", "<f8"))
+    return arrays.open_array(spark, HttpStore(url, max_connections=8)).get(concurrency=8)
+
+
+@query("store_http_ranges", f"{_ALL_EMBEDDINGS} WHERE vec_id >= 130 AND vec_id < 171")
+def _(spark, sf_dir):
+    _embeddings(spark, sf_dir, "embeddings-wide", chunks=[100, 64])
+    url = serving.serve(spark, fixtures.once(spark, sf_dir, "embeddings-wide", None))
+    return arrays.open_array(spark, url).get([[130, 171], None])
+
+
+@query("store_retries", "SELECT p_partkey::BIGINT AS i0, p_size::INTEGER AS value FROM part")
+def _(spark, sf_dir):
+    """The first two requests of every key fail."""
+    url = serving.serve(spark, _parts(spark, sf_dir), failing=2)
+    return arrays.open_array(spark, HttpStore(url, base_delay_ms=1), "size").get()
+
+
+@query("store_heads", "SELECT r.i::VARCHAR AS key, 8000::BIGINT AS http_bytes, 8000::BIGINT AS file_bytes FROM range((SELECT (count(*) + 999) // 1000 FROM orders)) r(i)")
+def _(spark, sf_dir):
+    folder = _store_1d(spark, sf_dir, "prices", "orders", "o_orderkey", "o_totalprice", "<f8")
+    http, file = HttpStore(serving.serve(spark, folder)), open_store(folder)
+    keys = [k for k in file.list("") if k.isdigit()]
+    return spark.createDataFrame([(k, http.head(k).size, file.head(k).size) for k in keys], "key string, http_bytes bigint, file_bytes bigint")
+
+
+@query("store_cached", _ALL_PRICES)
+def _(spark, sf_dir):
+    folder = _store_1d(spark, sf_dir, "prices", "orders", "o_orderkey", "o_totalprice", "<f8")
+    store = CachedStore(open_store(folder), os.path.join(tempfile.gettempdir(), "chunkwright-cache"), store_id=folder, max_bytes=64 << 20)
+    return arrays.open_array(spark, store).get()
+
+
+class _Dearer(Store):
+    """A user's own store: every price of another store, plus one."""
+
+    def __init__(self, uri: str):
+        self.uri = uri
+
+    def get(self, key: str) -> bytes | None:
+        data = open_store(self.uri).get(key)
+        return data if data is None or not key.isdigit() else (np.frombuffer(data, "<f8") + 1).tobytes()
+
+    def has(self, key: str) -> bool:
+        return open_store(self.uri).has(key)
+
+    def list(self, prefix: str) -> Iterator[str]:
+        return open_store(self.uri).list(prefix)
+
+
+@query("store_custom", "SELECT o_orderkey::BIGINT AS i0, o_totalprice + 1 AS value FROM orders")
+def _(spark, sf_dir):
+    return arrays.open_array(spark, _Dearer(_store_1d(spark, sf_dir, "prices", "orders", "o_orderkey", "o_totalprice", "<f8"))).get()
+
+
+@query("store_ids", "SELECT * FROM (VALUES ('s3://b/p/q', 's3://b/p/q'), ('http://h/x/', 'http://h/x'), ('/data', NULL)) t(uri, store_id)")
+def _(spark, sf_dir):
+    return spark.createDataFrame([(uri, derive_store_id(open_store(uri))) for uri in ("s3://b/p/q", "http://h/x/", "/data")], "uri string, store_id string")
+
+
+@query("memory_cache_chunks", "SELECT read.i AS read, count(*) AS chunks, read.i = 1 AS cached FROM range(2) read(i), range((SELECT (count(*) + 511) // 512 FROM part)) c(i) GROUP BY read.i")
+def _(spark, sf_dir):
+    """Two local reads that share a chunk cache: what the hooks saw of each."""
+    array, cache, rows = arrays.open_array(spark, _parts(spark, sf_dir), "size"), MemoryCache(1 << 24), []
+    for read in range(2):
+        seen: list[bool] = []
+        hooks = Hooks(cache_hit=lambda event, to=seen: to.append(True), cache_miss=lambda event, to=seen: to.append(False))
+        array.to_numpy(options=ReadOptions(memory_cache=cache, hooks=hooks))
+        rows += [(read, len(seen), all(seen))]
+    return spark.createDataFrame(rows, "read bigint, chunks bigint, cached boolean")
+
+
+@query("worker_cache_reads", "SELECT (CASE WHEN n.i = 0 THEN o_totalprice ELSE o_totalprice + 1 END) AS value, n.i AS store, o_orderkey::BIGINT AS i0 FROM orders, range(2) n(i)")
+def _(spark, sf_dir):
+    """Two stores without a name of their own, read by the same workers with a cache of decoded chunks."""
+    folder = _store_1d(spark, sf_dir, "prices", "orders", "o_orderkey", "o_totalprice", "<f8")
+    stores = (open_store(folder), _Dearer(folder))
+    parts = [arrays.open_array(spark, s).get(memory_cache_bytes=8 << 20).withColumn("store", F.lit(n).cast("bigint")) for n, s in enumerate(stores)]
+    return parts[0].unionByName(parts[1])
+
+
+@query("metadata_cache", "SELECT * FROM (VALUES (0, 4), (1, 0)) t(opened, requests)")
+def _(spark, sf_dir):
+    """How many documents two opens of a group and an array in it ask the store for, with a shared cache."""
+    shared, rows = InMemoryCache(1 << 20), []
+    for opened in range(2):
+        misses: list[dict] = []
+        options = arrays.OpenOptions(shared, "parts", Hooks(cache_miss=misses.append))
+        arrays.open_group(spark, _parts(spark, sf_dir), "", options).get_array("size")
+        rows.append((opened, len([m for m in misses if m["tier"] == "shared"])))
+    return spark.createDataFrame([(o, min(n, 4)) for o, n in rows], "opened int, requests int")
+
+
+@query("open_any", "SELECT * FROM (VALUES ('', 'Group'), ('price', 'Array'), ('status', 'Group'), ('status/open', 'Array')) t(path, kind)")
+def _(spark, sf_dir):
+    folder = _orders_group(spark, sf_dir)
+    return spark.createDataFrame([(p, type(arrays.open(spark, folder, p)).__name__) for p in ("", "price", "status", "status/open")], "path string, kind string")
+
+
+@query("strict_mode", "SELECT r.i::VARCHAR AS key, true AS missing FROM range((SELECT (count(*) + 999) // 1000 FROM orders)) r(i) WHERE r.i % 3 = 0")
+def _(spark, sf_dir):
+    """The chunks that strict reads refuse, one by one."""
+    array = _array_1d(spark, sf_dir, "fill-missing", fill_value=-9999, keep="c0 % 3 <> 0")
+    rows = []
+    for k in range(-(-array.shape[0] // 1000)):
+        try:
+            array.to_numpy([[k * 1000, k * 1000 + 1]], ReadOptions(strict=True))
+        except MissingChunkError:
+            rows.append((str(k), True))
+    return spark.createDataFrame(rows, "key string, missing boolean")
+
+
+@query("chunk_peak_bytes", "SELECT * FROM (VALUES ('<f8', 8000::BIGINT), ('>f8 zlib', 24000::BIGINT), ('<f8 zlib', 16000::BIGINT)) t(kind, bytes)")
+def _(spark, sf_dir):
+    kinds = (("<f8", None), (">f8", {"id": "zlib"}), ("<f8", {"id": "zlib"}))
+    found = [(f"{d} zlib" if c else d, peak_bytes(parse_array(json.dumps(fixtures.array_document([5000], [1000], d, compressor=c)).encode()))) for d, c in kinds]
+    return spark.createDataFrame(found, "kind string, bytes bigint")
+
+
+@query("refusals", "SELECT * FROM (VALUES ('rank', 'SliceError'), ('backwards', 'SliceError'), ('no array', 'MetadataError'), ('no group', 'MetadataError'), ('http list', 'UnsupportedOperationError'), ('snapshot', 'ArrayError')) t(what, error)")
+def _(spark, sf_dir):
+    prices = _array_1d(spark, sf_dir)
+    tries = {
+        "rank": lambda: prices.get([0, 0]),
+        "backwards": lambda: prices.get([[5, 2]]),
+        "no array": lambda: arrays.open_array(spark, _orders_group(spark, sf_dir), "nothing"),
+        "no group": lambda: arrays.open_group(spark, _orders_group(spark, sf_dir), "price"),
+        "http list": lambda: HttpStore("http://127.0.0.1:9").list(""),
+        "snapshot": lambda: spatial.GridIndex.from_bytes(b"short"),
+    }
+    rows = []
+    for what, run in tries.items():
+        try:
+            run()
+        except ArrayError as error:
+            rows.append((what, type(error).__name__))
+    return spark.createDataFrame(rows, "what string, error string")
+
+
 # workloads on three dimensions
 
 
@@ -291,6 +482,78 @@ def _(spark, sf_dir):
     return _rounded(spatial.nearest_join(_points(spark, sf_dir), cells, "plat", "plon"))
 
 
+def _large_grid(spark: SparkSession, sf_dir: str) -> arrays.Group:
+    """A curvilinear grid with about as many cells as there are customers."""
+
+    def build(folder: str) -> None:
+        side = int(read_table(spark, sf_dir, "customer").count() ** 0.5)
+        grid = spark.range(side * side).select(F.expr(f"id div {side}").alias("i0"), F.expr(f"id % {side}").alias("i1"))
+        fixtures.encode_array(grid.withColumn("value", F.expr(f"i0 * 23.0D / {side} + i1 * 2.0D / {side}")), folder, "lat", [side, side], [32, 48], "<f4")
+        fixtures.encode_array(grid.withColumn("value", F.expr(f"i1 * 27.0D / {side} - i0 * 3.0D / {side}")), folder, "lon", [side, side], [32, 48], "<f4")
+        fixtures.write_bytes(folder, GROUP_DOC, b'{"zarr_format": 2}')
+
+    return arrays.open_group(spark, fixtures.once(spark, sf_dir, "large-grid", build))
+
+
+_SIDE = "(SELECT floor(sqrt(count(*)))::BIGINT FROM customer)"
+_LARGE = f"SELECT i.i AS i, j.j AS j, (i.i * 23.0::DOUBLE / n + j.j * 2.0::DOUBLE / n)::FLOAT::DOUBLE AS lat, (j.j * 27.0::DOUBLE / n - i.i * 3.0::DOUBLE / n)::FLOAT::DOUBLE AS lon FROM range({_SIDE}) i(i), range({_SIDE}) j(j), (SELECT {_SIDE} AS n)"
+
+
+@query("nearest_many_large", _NEAREST.replace(_GRID, _LARGE))
+def _(spark, sf_dir):
+    return _rounded(spatial.nearest_cells(_large_grid(spark, sf_dir), _points(spark, sf_dir), "plat", "plon"))
+
+
+@query("nearest_join_large", _NEAREST.replace(_GRID, _LARGE))
+def _(spark, sf_dir):
+    """As for a grid that is too large to copy: scanned by tasks and joined by tiles."""
+    return _rounded(spatial.nearest_join(_points(spark, sf_dir), spatial.grid_cells(_large_grid(spark, sf_dir)), "plat", "plon"))
+
+
+@query("grid_cached", f"SELECT i, j, lat::FLOAT AS lat, lon::FLOAT AS lon FROM ({_GRID})")
+def _(spark, sf_dir):
+    """A grid as another process finds it: a snapshot in a shared cache."""
+    shared = InMemoryCache(1 << 20)
+    spatial.GridIndex.load_cached(_events(spark, sf_dir), shared, grid_key="events")
+    return spatial.GridIndex.load_cached(_events(spark, sf_dir), shared, grid_key="events").to_df(spark)
+
+
+@query("grid_snapshot", f"SELECT i, j, lat::FLOAT AS lat, lon::FLOAT AS lon FROM ({_GRID})")
+def _(spark, sf_dir):
+    grid = spatial.GridIndex.from_group(_events(spark, sf_dir))
+    return spatial.GridIndex.from_bytes(grid.to_bytes()).to_df(spark)
+
+
+@query("grid_keys", "SELECT 'gridindex:events1' AS key, true AS found")
+def _(spark, sf_dir):
+    shared = InMemoryCache(1 << 20)
+    spatial.GridIndex.load_cached(_events(spark, sf_dir), shared, grid_key="events/1")
+    return spark.createDataFrame([("gridindex:events1", shared.has("gridindex:events1"))], "key string, found boolean")
+
+
+@query("nearest_point_1d", "SELECT s_suppkey::BIGINT AS point FROM (SELECT s_suppkey, plat, plon FROM (SELECT id AS s_suppkey, plat, plon FROM (" + _POINTS + ")) ORDER BY (plat - 11.3) * (plat - 11.3) + pow((plon - 8.2) * cos(radians(11.3)), 2), s_suppkey LIMIT 1)")
+def _(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    coordinates = (points.select(F.col("id").alias("i0"), F.col(c).alias("value")) for c in ("plat", "plon"))
+    return spatial.nearest_1d(*coordinates, (11.3, 8.2)).select("point")
+
+
+@query("select_labels", f"SELECT * FROM ({_ALL_EVENTS}) WHERE i1 = 7 AND i2 = 3")
+def _(spark, sf_dir):
+    """By labels of the 1-D coordinates y = 0.5, 1.5, ... and x = 10, 20, ..."""
+
+    def build(folder: str) -> None:
+        value = _events(spark, sf_dir).get_array("value").get()
+        fixtures.encode_array(value, folder, "value", [value.agg(F.max("i0")).first()[0] + 1, 10, 10], [16, 4, 4], "<f8", attrs={"_ARRAY_DIMENSIONS": ["time", "y", "x"]})
+        line = spark.range(10).withColumnRenamed("id", "i0")
+        fixtures.encode_array(line.withColumn("value", F.col("i0") + 0.5), folder, "y", [10], [10], "<f8", attrs={"_ARRAY_DIMENSIONS": ["y"]})
+        fixtures.encode_array(line.withColumn("value", F.col("i0") * 10.0 + 10), folder, "x", [10], [10], "<f8", attrs={"_ARRAY_DIMENSIONS": ["x"]})
+        fixtures.write_bytes(folder, GROUP_DOC, b'{"zarr_format": 2}')
+
+    group = arrays.open_group(spark, fixtures.once(spark, sf_dir, "events-labels", build))
+    return spatial.select_labels(group, {"y": 7.4, "x": 43.0})["value"]
+
+
 @query("nearest_cell", f"SELECT i, j FROM ({_GRID}) ORDER BY (lat - 11.3) * (lat - 11.3) + pow((lon - 8.2) * cos(11.3 * pi() / 180), 2), i, j LIMIT 1")
 def _(spark, sf_dir):
     found = spatial.GridIndex.from_group(_events(spark, sf_dir)).nearest(11.3, 8.2)
@@ -384,9 +647,11 @@ def _chunk_list(array: arrays.Array, selection=None) -> DataFrame:
     return found.select(F.col("chunk_coord")[0].alias("c0"), F.col("chunk_coord")[1].alias("c1"), "key")
 
 
-@query("reference_manifest", "SELECT o_orderkey::BIGINT AS i0, o_totalprice AS value FROM orders WHERE o_orderkey < 1000")
+@query("reference_manifest", _ALL_PRICES)
 def _(spark, sf_dir):
+    """A manifest's text: every quarter of every stored chunk as a chunk of its own."""
     folder = _store_1d(spark, sf_dir, "prices", "orders", "o_orderkey", "o_totalprice", "<f8")
-    document = fixtures.array_document([1000], [250], "<f8")
-    refs = {ARRAY_DOC: json.dumps(document)} | {str(i): [f"{folder}/0", i * 2000, 2000] for i in range(4)}
-    return arrays.open_array(spark, ReferenceStore({"version": 1, "refs": refs})).get()
+    shape = arrays.open_array(spark, folder).shape
+    document = fixtures.array_document(shape, [250], "<f8")
+    refs = {ARRAY_DOC: json.dumps(document)} | {str(i): [f"{folder}/{i // 4}", i % 4 * 2000, 2000] for i in range(-(-shape[0] // 250))}
+    return arrays.open_array(spark, ReferenceStore(json.dumps({"version": 1, "refs": refs}))).get()

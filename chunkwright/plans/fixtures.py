@@ -38,10 +38,10 @@ def _xor(data: bytes, key: int) -> bytes:
     return (np.frombuffer(data, dtype=np.uint8) ^ np.uint8(key)).tobytes()
 
 
-def blosc_frame(data: bytes, item: int, inner: str, shuffle: str = "byte", block: int = 4096) -> bytes:
-    """A Blosc 1 frame; each block is one stream."""
+def blosc_frame(data: bytes, item: int, inner: str, shuffle: str = "byte", block: int = 4096, split: bool = False) -> bytes:
+    """A Blosc 1 frame; each block is one stream, or a stream for each byte of an element if it is whole and ``split``."""
     number = next(k for k, v in blosc1.INNER.items() if v == inner)
-    flags = number << 5 | blosc1.UNSPLIT | {"byte": blosc1.SHUFFLE, "bit": blosc1.BITSHUFFLE, "none": 0}[shuffle]
+    flags = number << 5 | (0 if split else blosc1.UNSPLIT) | {"byte": blosc1.SHUFFLE, "bit": blosc1.BITSHUFFLE, "none": 0}[shuffle]
     streams = []
     for i in range(0, len(data), block):
         part = data[i : i + block]
@@ -52,13 +52,19 @@ def blosc_frame(data: bytes, item: int, inner: str, shuffle: str = "byte", block
             n = n // 8 * 8
             bits = np.unpackbits(np.frombuffer(part, dtype=np.uint8, count=n * item).reshape(n, item), axis=1, bitorder="little").T
             part = np.packbits(bits, axis=1, bitorder="little").tobytes() + part[n * item :]
-        packed = zlib.compress(part) if inner == "zlib" else pa.Codec("lz4_raw" if inner == "lz4" else inner).compress(part, asbytes=True)
-        streams.append(part if len(packed) >= len(part) else packed)
+        apart = item if split and len(part) == block and 1 < item <= blosc1.MAX_SPLITS and block // item >= blosc1.MIN_SPLIT_BYTES else 1
+        stream = b""
+        for k in range(apart):
+            plain = part[k * len(part) // apart : (k + 1) * len(part) // apart]
+            packed = zlib.compress(plain) if inner == "zlib" else pa.Codec("lz4_raw" if inner == "lz4" else inner).compress(plain, asbytes=True)
+            kept = plain if len(packed) >= len(plain) else packed
+            stream += struct.pack("<i", len(kept)) + kept
+        streams.append(stream)
     starts, at = [], blosc1.HEADER + 4 * len(streams)
     for s in streams:
         starts.append(at)
-        at += 4 + len(s)
-    body = b"".join(struct.pack("<i", len(s)) + s for s in streams)
+        at += len(s)
+    body = b"".join(streams)
     return struct.pack("<BBBBIII", 2, 1, flags, item, len(data), block, at) + struct.pack(f"<{len(starts)}i", *starts) + body
 
 
@@ -71,7 +77,7 @@ def compress(data: bytes, compressor: dict | None, item: int) -> bytes:
     if kind == "gzip":
         return gzip.compress(data, mtime=0)
     if kind == "blosc":
-        return blosc_frame(data, item, compressor["cname"], compressor.get("shuffle_name", "byte"))
+        return blosc_frame(data, item, compressor["cname"], compressor.get("shuffle_name", "byte"), split=compressor.get("split", False))
     return _xor(data, compressor["key"])
 
 

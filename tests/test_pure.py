@@ -109,6 +109,8 @@ def test_blosc_frames(inner, shuffle):
     for n in (1, 100, 3000):
         data = np.arange(n, dtype="<f8").tobytes() + b"abc"
         assert blosc1.decode(fixtures.blosc_frame(data, 8, inner, shuffle, 1000)) == data
+        for item in (2, 4, 8, 16, 32):
+            assert blosc1.decode(fixtures.blosc_frame(data, item, inner, shuffle, 4096, split=True)) == data
 
 
 def test_blosc_special_frames():
