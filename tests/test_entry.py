@@ -14,6 +14,15 @@ def test_entry_module_without_the_training_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={"PATH": "/usr/bin:/bin", "HOME": "/root"})
 
 
+def test_a_fault_inside_the_training_operators_is_raised(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "tests"))
+    with (copy / "chunkwright" / "llm" / "bpe.py").open("a") as out:
+        out.write("\nimport no_such_module\n")
+    found = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=copy, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "HOME": "/root"})
+    assert found.returncode and "no_such_module" in found.stderr
+
+
 def test_nothing_else_imports_the_training_operators():
     for path in (ROOT / "chunkwright").rglob("*.py"):
         if "llm" not in path.parts:
