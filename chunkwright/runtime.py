@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import functools
 import gc
 import os
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 1_000_000
 
 #: Bounds of an Arrow batch on its way to Python. Spark's own, 10,000 rows and 64 MB, are held several times over by an executor and its workers.
-BATCH_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2048"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
+BATCH_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2048"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "1m")}
 
 _SHIPPED: set[str] = set()
 _SCRATCH: list[list[str]] = []
@@ -53,6 +54,27 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def release() -> None:
+    """Give back to the system what this worker process has allocated and no longer uses; workers live on between tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function over batches, with ``release`` at its end."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidy
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. Where none is named, one process can do with a temporary one; a cluster can't."""
     named = spark.conf.get("spark.checkpoint.dir", None)
