@@ -1,19 +1,20 @@
 """Sharding by longest-processing-time scheduling.
 
 Rows with equal texts form a group that stays together.  Groups, the largest
-first, go to the least-loaded shard through a heap.  The heap runs on the driver,
-so what reaches it is bounded: a group of at least a ``units``-th of all bytes is
-an item of its own (there are at most ``units``), and all smaller groups share
-``units`` items by a hash of their text.  The spread of the shards' loads is at
-most the larger of a group that can't be split and one small item.
+first, go to the least-loaded shard through a heap.  Groups of one size are
+interchangeable, so the driver sees only how many groups there are of each size: n
+different sizes need n * n / 2 bytes of text at least, which bounds them.  A size's groups are
+dealt at once, and each shard gets as many as the heap would have given it one by one.
+Which ones follows from their rank among the groups of that size.
 
-Slots are numbered without gaps inside each shard: rows are dealt into salted
-cells of bounded size, cells get offsets from their counts, and a row's slot is
-its cell's offset plus its rank in the cell.  No task holds a whole shard.
+Ranks and slots are numbered without gaps: rows are dealt into salted cells, cells get
+offsets from their counts, and a row's number is its cell's offset plus its rank in the
+cell.  No task holds a whole size or a whole shard.
 
 Defined cases: null text has no bytes, the checksum of no bytes, and the same
 group as empty texts; repeated rows are kept; an empty table gives no rows; with
-fewer groups than shards some shards stay empty.  Extra columns aren't read.
+fewer groups than shards some shards stay empty; ties go to the smaller shard, and among
+groups of one size the order is that of a hash of the text.  Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -23,66 +24,94 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkwright.runtime import stage
+from chunkwright.runtime import scratched, stage
 
 #: What each row costs beside its bytes.
 ROW_BYTES = 16
-#: Small groups share so many items; as many large groups at most stand alone.
-UNITS = 8192
-#: Rows of a cell within which slots are ranked.
+#: Rows of a cell within which numbers are ranked.
 CELL_ROWS = 50_000
 
 
-def schedule(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """(item, size) -> shard; the largest first, ties by item, to the least-loaded shard."""
+def deal(loads: list[int], size: int, count: int) -> list[int]:
+    """How many of ``count`` items of one size each shard gets, the least-loaded shard taking the next, ties to the first; ``loads`` grow."""
+
+    def below(level: int) -> list[int]:
+        # An item goes to a shard while its load is at most `level`.
+        return [max(0, (level - load) // size + 1) for load in loads]
+
+    low, high = min(loads) - 1, min(loads) + size * count
+    while high - low > 1:  # the least level that takes all items
+        middle = (low + high) // 2
+        low, high = (low, middle) if sum(below(middle)) >= count else (middle, high)
+    given, last = below(high - 1), below(high)
+    rest = count - sum(given)
+    for shard, most in enumerate(last):
+        if rest and most > given[shard]:
+            given[shard] += 1
+            rest -= 1
+    for shard, n in enumerate(given):
+        loads[shard] += n * size
+    return given
+
+
+def schedule(sizes: dict[int, int], shards: int) -> list[tuple[int, int, int, int]]:
+    """(size, first rank, end rank, shard) for so many groups of each size, the largest size first.
+
+    Sizes with fewer groups than shards go through a heap, larger ones are dealt at once; both give the same.
+    """
+    loads = [0] * shards
     heap = [(0, shard) for shard in range(shards)]
-    placed = {}
-    for item, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        load, shard = heap[0]
-        heapq.heapreplace(heap, (load + size, shard))
-        placed[item] = shard
-    return placed
+    out = []
+    for size, count in sorted(sizes.items(), reverse=True):
+        if count < shards:
+            for rank in range(count):
+                load, shard = heap[0]
+                heapq.heapreplace(heap, (load + size, shard))
+                loads[shard] = load + size
+                out.append((size, rank, rank + 1, shard))
+            continue
+        rank = 0
+        for shard, n in enumerate(deal(loads, size, count)):
+            if n:
+                out.append((size, rank, rank + n, shard))
+                rank += n
+        heap = [(load, shard) for shard, load in enumerate(loads)]
+        heapq.heapify(heap)
+    return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", units: int = UNITS) -> DataFrame:
+def numbered(rows: DataFrame, key: str, order: str, name: str, total: int) -> DataFrame:
+    """``rows`` with a number from 0 within each ``key``, without gaps, by cells of a hash of ``order``."""
+    cells = max(1, -(-total // CELL_ROWS))
+    dealt = rows.withColumn("_cell", F.pmod(F.xxhash64(order), F.lit(cells)))
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = dealt.groupBy(key, "_cell").count().select(key, "_cell", before.alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(key, "_cell").orderBy(order))
+    return dealt.withColumn("_rank", rank).join(offsets, [key, "_cell"]).withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_cell", "_rank", "_before")
+
+
+@scratched
+def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its id, size, text_crc32, group (a hash of the text), shard, slot."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = stage(
         docs.select(
-            F.col(id_col),
+            F.col(id_col).alias("id"),
             (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text, F.octet_length(text)).alias("group"),
-            F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)).alias("salt"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-rows",
     )
-    groups = stage(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "shard-groups")
-    total, n = rows.agg(F.sum("size"), F.count("*")).first()
-    alone = F.col("bytes") >= max(1.0, (total or 0) / units)
-    # At most `units` groups reach this size, and the others fall into `units` items.
-    large = groups.where(alone).select("group", "bytes").collect()
-    small = groups.where(~alone).groupBy(F.pmod("group", F.lit(units)).alias("unit")).agg(F.sum("bytes").alias("bytes")).collect()
-    items = [(i, r["bytes"]) for i, r in enumerate(large)] + [(len(large) + r["unit"], r["bytes"]) for r in small]
-    placed = schedule(items, shards)
-    of_large = spark.createDataFrame([(r["group"], placed[i]) for i, r in enumerate(large)], "`group` long, large_shard int")
-    of_unit = spark.createDataFrame([(r["unit"], placed[len(large) + r["unit"]]) for r in small], "unit long, unit_shard int")
-    # Both tables have at most `units` rows.
-    dealt = (
-        rows.withColumn("unit", F.pmod("group", F.lit(units)))
-        .join(F.broadcast(of_large), "group", "left")
-        .join(F.broadcast(of_unit), "unit", "left")
-        .withColumn("shard", F.coalesce("large_shard", "unit_shard"))
-    )
-    cells = max(1, -(-(n or 0) // (CELL_ROWS * shards)) * 4)
-    dealt = dealt.withColumn("cell", F.pmod("salt", F.lit(cells)))
-    counts = dealt.groupBy("shard", "cell").count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("shard", "cell", before.alias("before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "cell").orderBy(id_col, "salt"))
-    return (
-        dealt.withColumn("rank", rank)
-        .join(offsets, ["shard", "cell"])
-        .select(id_col, "size", "text_crc32", F.col("group"), F.col("shard").cast("int"), (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"))
-    )
+    groups = stage(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
+    classes = groups.groupBy("bytes").agg(F.count("*").alias("groups"), F.sum("n").alias("rows")).collect()
+    placed = schedule({r["bytes"]: r["groups"] for r in classes}, shards)
+    total = sum(r["rows"] for r in classes)
+    # At most one row for each size and shard, or for each group.
+    stretches = stage(spark.createDataFrame(placed, "bytes long, low long, high long, shard int"), "shard-stretches")
+    ranked = numbered(groups.select("group", "bytes"), "bytes", "group", "rank", sum(r["groups"] for r in classes))
+    of_group = stage(ranked.join(stretches, "bytes").where("rank >= low and rank < high").select("group", "shard"), "shard-places")
+    dealt = rows.join(of_group, "group")
+    return numbered(dealt, "shard", "row", "slot", total).select(F.col("id").alias(id_col), "size", "text_crc32", "group", "shard", "slot")
