@@ -18,7 +18,8 @@ large groups of copies need no wider window.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components
 take no part, as query or candidate; vectors of another length than the first in
-id order take no part either; a query never meets its own row; with fewer than
+id order take no part either; rows without an id neither; rows that repeat an id are one,
+with the least of its vectors (component by component) where these differ; a query never meets its own id; with fewer than
 ``k`` candidates all that are found come back; ties go to the smaller id; an empty
 table gives no rows.  Extra columns aren't read.
 """
@@ -33,15 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkwright.runtime import ship, stage
+from chunkwright.runtime import scratched, ship, stage
 
-ORDERINGS = 8
+ORDERINGS = 10
 #: Projected dimensions and bits of each for a Hilbert key; their product is below 63.
 CURVE_DIMS, CURVE_BITS = 4, 12
 #: Blocks of an ordering, and how many on each side of a query's own it visits.
-BLOCKS, REACH = 16, 1
-#: Points of a block that are compared at once; larger blocks are split by a salt.
-BLOCK_POINTS = 50_000
+BLOCKS, REACH = 32, 2
+#: Points and queries of a block that meet in one group; larger blocks are split by salts of both.
+BLOCK_POINTS, BLOCK_QUERIES = 50_000, 20_000
+#: Queries whose products with a group's points are held at once.
+QUERY_SLICE = 128
+#: How many more than needed a group keeps, for products that rounding puts in another order.
+SPARE = 12
 #: Relative error of the quantiles that cut an ordering.
 QUANTILE_ACCURACY = 2_000
 
@@ -96,6 +101,16 @@ def curve_keys(unit: np.ndarray, orderings: int = ORDERINGS, seed: int = 11) ->
     return np.stack(out, axis=1)
 
 
+def largest(scores: np.ndarray, n: int) -> np.ndarray:
+    """The columns of the ``n`` largest scores of each row; of equal ones at the cut, the first columns."""
+    top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+    least = np.take_along_axis(scores, top, axis=1).min(axis=1)
+    for row in np.flatnonzero((scores >= least[:, None]).sum(axis=1) > n):
+        above = np.flatnonzero(scores[row] > least[row])
+        top[row] = np.concatenate([above, np.flatnonzero(scores[row] == least[row])[: n - len(above)]])
+    return top
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, v (doubles) of the rows that take part."""
     v = F.col(vector_col).cast("array<double>")
@@ -105,11 +120,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == F.lit(width or 0))
 
 
+@scratched
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", orderings: int = ORDERINGS, reach: int = REACH) -> DataFrame:
     """Per query (rows of ``queries``, which are rows of ``vectors`` too): query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = usable(vectors, id_col, vector_col)
+    rows = usable(vectors, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
     # Smallest ids first: enough that a query's own can be left out. The rest of a group of copies can't be among the k.
     keep = k + 1
     ranked = rows.select("id", "v", F.xxhash64("v").alias("point"))
@@ -128,14 +144,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             keys = curve_keys(np.hstack([unit, lift[:, None]]), orderings)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(keys), pa.list_(pa.int64()))], names=[*batch.schema.names, "keys"])
 
-    asked = usable(queries, id_col, vector_col).select(F.col("id"), "v", F.array(F.lit(0).cast("long")).alias("ids"), F.lit(True).alias("is_query"))
+    own = usable(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
+    asked = own.select("id", "v", F.array(F.lit(0).cast("long")).alias("ids"), F.lit(True).alias("is_query"))
     points = low.select(F.element_at("ids", 1).alias("id"), "v", "ids", F.lit(False).alias("is_query"))
     schema = "id bigint, v array<double>, ids array<bigint>, is_query boolean, keys array<bigint>"
     both = stage(points.unionByName(asked).mapInArrow(keyed, schema), "ann-keys")
     cuts = [F.percentile_approx(F.col("keys")[m], [i / BLOCKS for i in range(1, BLOCKS)], QUANTILE_ACCURACY).alias(f"c{m}") for m in range(orderings)]
     found = both.where("not is_query").agg(F.count("*").alias("n"), *cuts).first()
     bounds = [sorted(found[f"c{m}"] or []) for m in range(orderings)]
+    n_asked = both.where("is_query").count()
     salts = max(1, -(-2 * (found["n"] or 0) // (BLOCKS * BLOCK_POINTS)))
+    # Queries may all lie in one block, unlike points, whose quantiles cut the blocks.
+    ask_salts = max(1, -(-n_asked // BLOCK_QUERIES))
 
     def block(m: int):
         key, out = F.col("keys")[m], F.lit(0)
@@ -144,9 +164,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         return out
 
     placed = both.withColumn("at", F.explode(F.array(*(F.struct(F.lit(m).alias("m"), block(m).alias("b")) for m in range(orderings)))))
-    base = placed.where("not is_query").select("id", "v", "ids", "is_query", "at.m", "at.b", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    base = placed.where("not is_query").select("id", "v", "is_query", "at.m", "at.b", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    base = base.withColumn("ask_salt", F.explode(F.sequence(F.lit(0), F.lit(ask_salts - 1))))
     near = F.explode(F.sequence(F.greatest(F.lit(0), F.col("at.b") - reach), F.least(F.lit(BLOCKS - 1), F.col("at.b") + reach)))
-    visits = placed.where("is_query").select("id", "v", "ids", "is_query", "at.m", near.alias("b")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    visits = placed.where("is_query").select("id", "v", "is_query", "at.m", near.alias("b")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    visits = visits.withColumn("ask_salt", F.pmod(F.xxhash64("id"), F.lit(ask_salts)).cast("int"))
 
     def best(group: pa.Table) -> pa.Table:
         ask = np.array(group["is_query"])
@@ -154,19 +176,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         ids, queries_at, base_at = np.array(group["id"]), np.flatnonzero(ask), np.flatnonzero(~ask)
         out_q, out_p = [], []
         if len(base_at):
-            points, n = v[base_at], min(keep, len(base_at))
-            for start in range(0, len(queries_at), 512):
-                part = queries_at[start : start + 512]
-                scores = v[part] @ points.T
-                top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+            base_at = base_at[np.argsort(ids[base_at])]
+            points, n = v[base_at], min(keep + SPARE, len(base_at))
+            for start in range(0, len(queries_at), QUERY_SLICE):
+                part = queries_at[start : start + QUERY_SLICE]
                 out_q.append(np.repeat(ids[part], n))
-                out_p.append(base_at[top].ravel())
+                out_p.append(base_at[largest(v[part] @ points.T, n)].ravel())
         q = np.concatenate(out_q) if out_q else np.zeros(0, dtype=np.int64)
         p = np.concatenate(out_p) if out_p else np.zeros(0, dtype=np.int64)
         return pa.table({"query_id": pa.array(q, pa.int64()), "point": pa.array(ids[p] if len(p) else np.zeros(0, dtype=np.int64), pa.int64())})
 
     # Neighbouring blocks and orderings give the same point again.
-    candidates = base.unionByName(visits).groupBy("m", "b", "salt").applyInArrow(best, "query_id bigint, point bigint").distinct()
+    candidates = base.unionByName(visits).groupBy("m", "b", "salt", "ask_salt").applyInArrow(best, "query_id bigint, point bigint").distinct()
     scored = candidates.join(low.select(F.element_at("ids", 1).alias("point"), F.col("v").alias("pv"), "ids"), "point").join(asked.select(F.col("id").alias("query_id"), "v"), "query_id")
     exact = F.aggregate(F.zip_with("v", "pv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     each = scored.select("query_id", exact.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
