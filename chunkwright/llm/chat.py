@@ -11,8 +11,8 @@ be taken for marks and reading back restores each text exactly.
 Defined cases: null text is empty; null role is the empty role; a role without
 marks of its own gets the generic ones; a null conv_id is a conversation of its
 own; equal turns keep every row; a turn order that the machine doesn't allow is
-formatted all the same, ``valid`` being false from that turn on.  An empty table
-gives no rows.  Extra columns aren't read.
+formatted all the same, ``valid`` being false from that turn on.  Texts of any
+length are one segment each, whole.  An empty table gives no rows.  Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -91,41 +91,48 @@ SEGMENTS = "array<struct<text:string,loss:boolean>>"
 
 
 def format_turns(turns: DataFrame, template: Template | None = None) -> DataFrame:
-    """Per turn, in order within a conversation: conv_id, turn, role, state, valid, segments.
+    """Per turn, in order within a conversation: conv_id, turn, role, place (from 0), state, valid, segments.
 
-    The rows of a conversation stay in one partition, sorted.
+    The rows of a conversation come out in one partition, sorted.
     """
     template = template or Template()
     ship(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: object = run  # no conversation yet
-        state, valid = template.start, True
+        state, valid, place = template.start, True, 0
         for batch in batches:
-            states, valids, segments = [], [], []
+            places, states, valids, segments = [], [], [], []
             ids, _, roles, texts = (c.to_pylist() for c in batch.columns)
             for conv, role, text in zip(ids, roles, texts, strict=True):
                 if conv != now:
-                    now, state, valid = conv, template.start, True
+                    now, state, valid, place = conv, template.start, True, 0
                 role = role or ""
                 to = template.moves.get((state, role))
                 valid = valid and to is not None
                 state = to or role
+                places.append(place)
+                place += 1
                 states.append(state)
                 valids.append(valid)
                 segments.append([{"text": s, "loss": loss} for s, loss in template.segments(role, text or "")])
             kind = pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(states, pa.string()), pa.array(valids, pa.bool_()), pa.array(segments, kind)], names=["conv_id", "turn", "role", "state", "valid", "segments"]
+                [*batch.columns[:3], pa.array(places, pa.int64()), pa.array(states, pa.string()), pa.array(valids, pa.bool_()), pa.array(segments, kind)],
+                names=["conv_id", "turn", "role", "place", "state", "valid", "segments"],
             )
 
     kinds = {c: turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
     ordered = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, state string, valid boolean, segments {SEGMENTS}")
+    return ordered.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, place bigint, state string, valid boolean, segments {SEGMENTS}")
 
 
-def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """Per conversation, from the output of ``format_turns`` alone: counts and digests of what its segments say."""
+def read_back(formatted: DataFrame, template: Template | None = None, in_order: bool = False) -> DataFrame:
+    """Per conversation, from the output of ``format_turns`` alone: counts and digests of what its segments say.
+
+    Rows are dealt and sorted again unless they come ``in_order``, straight from ``format_turns`` in the same plan; a stored
+    table keeps no order that could be relied on.
+    """
     template = template or Template()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +175,8 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
             yield table(done)
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
+    if not in_order:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "place")
     return formatted.select("conv_id", "valid", "segments").mapInArrow(
         run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean"
     )
