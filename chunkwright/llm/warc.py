@@ -14,7 +14,9 @@ half-written is never read.
 Defined cases: a null payload is empty; a null url has no target line; a null
 page_id is kept as null; equal rows each get a record; among equal payloads of at
 least ``revisit_bytes`` those with the largest page_id are responses and the
-others revisit it; an empty table gives no archive and no rows.
+others revisit it; a payload of any length is one record, held whole by the task that
+writes or reads it; an empty table gives no archive and no rows.  Only page_id, url
+and html are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PACKAGE_BYTES = 512 << 20
 #: Records that begin in the same stretch of so many bytes are fetched with one request.
 REQUEST_BYTES = 1 << 20
+#: Packed bytes that a task reads, at most and at least; between them there is one task for each shuffle partition.
+READ_BYTES = 64 << 20, 1 << 20
 #: Shorter payloads are never revisits.
 REVISIT_BYTES = 1000
 
@@ -256,9 +260,17 @@ def read_index(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFra
     return manifest.select("path").mapInArrow(run, "path string, start bigint, length bigint")
 
 
-def read_records(spark: SparkSession, index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
-    """Fetch records by range: page_id, payload_bytes, payload_digest, record_type, refers_to (and payload, if wanted)."""
+def read_records(spark: SparkSession, index: DataFrame, folder: str, with_payload: bool = False, total_bytes: int | None = None) -> DataFrame:
+    """Fetch records by range: page_id, payload_bytes, payload_digest, record_type, refers_to (and payload, if wanted).
+
+    ``total_bytes``: of all records in the index, if known; else the index is summed.  Index rows are small, so the number of
+    tasks follows the bytes that they fetch.
+    """
     ship(spark)
+    if total_bytes is None:
+        total_bytes = index.agg(F.sum("length")).first()[0] or 0
+    most, least = READ_BYTES
+    tasks = max(1, -(-total_bytes // most), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total_bytes // least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = pafs.FileSystem.from_uri(folder)
@@ -300,7 +312,7 @@ def read_records(spark: SparkSession, index: DataFrame, folder: str, with_payloa
                 yield table(records)
 
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + (", payload binary" if with_payload else "")
-    near = index.withColumn("stretch", F.expr(f"start div {REQUEST_BYTES}")).repartition("path", "stretch").sortWithinPartitions("path", "start")
+    near = index.withColumn("stretch", F.expr(f"start div {REQUEST_BYTES}")).repartition(tasks, "path", "stretch").sortWithinPartitions("path", "start")
     return near.select("path", "start", "length").mapInArrow(run, schema)
 
 
@@ -309,4 +321,5 @@ def round_trip(pages: DataFrame, with_payload: bool = False) -> DataFrame:
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     manifest = write_archives(spark, classify(pages), folder)
-    return read_records(spark, read_index(spark, manifest, folder), folder, with_payload)
+    total = manifest.agg(F.sum("bytes")).first()[0] or 0
+    return read_records(spark, read_index(spark, manifest, folder), folder, with_payload, total)
