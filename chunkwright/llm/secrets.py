@@ -9,7 +9,8 @@ the score reaches the threshold, each of its literals becomes a span of kind
 ``literal``, wherever it was written.
 
 Spans are (kind, start, end) in code points, the end exclusive.  Null text is
-empty; an empty text has no spans.  Rows are independent of each other, extra
+empty; an empty text has no spans; a text of any length is scanned whole, in time
+that grows as its length.  A name given anew stands for its new value alone.  Rows are independent of each other, extra
 columns aren't read, and an empty table gives an empty one.
 """
 
@@ -24,7 +25,7 @@ from math import log2
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chunkwright.runtime import ship
+from chunkwright.runtime import ship, tidied
 
 KINDS = ("assign", "access", "hex", "literal")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -61,14 +62,41 @@ def name_score(name: str) -> float:
     return max([single, *(PAIR_WEIGHTS.get(p, 0) for p in zip(words, words[1:], strict=False))])
 
 
-def literal_score(value: str) -> float:
-    """0 to 3: bits a character, and whether letters and digits mix."""
-    if len(value) < LITERAL_CHARS or " " in value:
-        return 0.0
-    n = len(value)
-    bits = -sum(k / n * log2(k / n) for k in Counter(value).values())
-    mixed = any(c.isdigit() for c in value) + any(c.isalpha() for c in value)
-    return min(2.0, bits / 2) + (mixed == 2)
+class Value:
+    """What a name stands for: its literals, and by reference the values that it was joined from.
+
+    Counts of bytes are summed, not gathered again, so a chain of assignments costs no more than its text.
+    """
+
+    __slots__ = ("counts", "given", "letters", "parts", "digits", "size", "spaced", "spans")
+
+    def __init__(self, spans: list[tuple[int, int]], texts: list[str], parts: list[Value]):
+        self.spans, self.parts, self.given = spans, parts, False
+        plain = "".join(texts)
+        self.counts = Counter(plain.encode())
+        for part in parts:
+            self.counts.update(part.counts)
+        self.size = sum(self.counts.values())
+        self.spaced = " " in plain or any(p.spaced for p in parts)
+        self.digits = any(map(str.isdigit, plain)) or any(p.digits for p in parts)
+        self.letters = any(map(str.isalpha, plain)) or any(p.letters for p in parts)
+
+    def score(self) -> float:
+        """0 to 3: bits a byte, and whether letters and digits mix."""
+        if self.size < LITERAL_CHARS or self.spaced:
+            return 0.0
+        bits = -sum(k / self.size * log2(k / self.size) for k in self.counts.values() if k / self.size)
+        return min(2.0, bits / 2) + (self.digits and self.letters)
+
+    def give(self) -> Iterator[tuple[int, int]]:
+        """All literal spans below that weren't given before."""
+        todo = [self]
+        while todo:
+            value = todo.pop()
+            if not value.given:
+                value.given = True
+                yield from value.spans
+                todo += value.parts
 
 
 def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]]:
@@ -107,17 +135,14 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[st
 
 
 def lexed_spans(text: str) -> list[tuple[str, int, int]]:
-    known: dict[str, list[tuple[int, int]]] = {}
+    known: dict[str, Value] = {}
     found: set[tuple[int, int]] = set()
     for name, literals, refs in assignments(text):
-        own = list(literals)
-        for ref in refs:
-            own += known.get(ref, [])
-        own = sorted(set(own))
-        known[name] = own
+        parts = {id(known[ref]): known[ref] for ref in refs if ref in known}
+        value = known[name] = Value(literals, [text[a:b] for a, b in literals], list(parts.values()))
         weight = name_score(name)
-        if weight and own and weight + literal_score("".join(text[a:b] for a, b in own)) >= THRESHOLD:
-            found.update(s for s in own if s[1] > s[0])
+        if weight and value.size and weight + value.score() >= THRESHOLD:
+            found.update(s for s in value.give() if s[1] > s[0])
     return [("literal", a, b) for a, b in found]
 
 
@@ -163,7 +188,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string")
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), f"{id_col} {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string")
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -177,4 +202,4 @@ def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns = [*batch.columns[:place], pa.array(texts, pa.string()), *batch.columns[place + 1 :]]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
