@@ -1,11 +1,14 @@
 """Benchmark decontamination through a positional inverted index; DataFrame functions only.
 
 The index holds a posting (row, term, position) for each training word that is a
-term of some benchmark item, and one more entry per row with its word count.
+term of some benchmark item, and one more entry per row with its word count.  Postings of
+other words could meet no window, so they aren't stored; ``build_index`` takes any vocabulary,
+and an index for phrases not known yet needs that of the training texts themselves.
 Each window of an item's words is looked up from its rarest term on: the postings
 of that term, less its offset in the window, give candidate starts, and these are
 intersected with the offset-adjusted postings of the second rarest term, then of
-the others.  ``slop`` lets each term stand so many places off (proximity).
+the others.  ``slop`` lets each term stand so many places off (proximity); the words hit
+then are those that stand for a term, not those between them.
 
 Words are runs of characters other than ASCII ones that aren't letters or digits;
 A-Z count as a-z.
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkwright.runtime import few, stage
+from chunkwright.runtime import few, scratched, stage
 
 #: Separators before letters are lower-cased, so A-Z are word characters.
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -79,8 +82,8 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id",
     )
 
 
-def find_windows(index: Index, windows: DataFrame, slop: int = 0) -> DataFrame:
-    """row, window, start of each occurrence; ``windows`` has window (a number) and words."""
+def find_windows(index: Index, windows: DataFrame, slop: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(row, window, length, start of each occurrence; row, pos of each word in one); ``windows`` has window (a number) and words."""
     frequency = index.postings.groupBy("term").agg(F.count("*").alias("n"))
     parts = windows.select("window", F.size("words").alias("length"), F.posexplode("words").alias("offset", "word")).join(index.terms, "word")
     by_rarity = Window.partitionBy("window").orderBy("n", "offset")
@@ -105,16 +108,22 @@ def find_windows(index: Index, windows: DataFrame, slop: int = 0) -> DataFrame:
         # A window of one term (or two) has nothing more to meet.
         short = "length < 2" if ranks == "rank = 2" else "length < 3"
         starts = stage(counted.where(met).select("row", "window", "length", "start").unionByName(starts.where(short)), "window-starts")
-    return starts
+    found = stage(starts.distinct(), "window-hits")
+    places = found.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos"))
+    if slop:
+        at = F.col("start") + F.col("offset")
+        asked = found.join(ranked, ["window", "length"]).select("row", "term", F.explode(F.sequence(at - slop, at + slop)).alias("pos"))
+        places = asked.join(near, ["row", "term", "pos"]).select("row", "pos")
+    return found, places.distinct()
 
 
+@scratched
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", slop: int = 0) -> DataFrame:
     """Per row: id, n_words, n_hit (words inside occurrences), n_items, items (sorted ids), contaminated."""
     by_item = stage(windows_of(items, width).withColumn("window", F.xxhash64("words")), "windows")
     windows = by_item.groupBy("window").agg(F.first("words").alias("words"))
     index = build_index(docs, by_item.select(F.explode("words").alias("word")))
-    hits = stage(find_windows(index, windows, slop).distinct(), "window-hits")
-    covered = hits.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos")).distinct()
+    hits, covered = find_windows(index, windows, slop)
     n_hit = covered.groupBy("row").agg(F.count("*").alias("n_hit"))
     found = hits.select("row", "window").distinct().join(by_item.select("window", "item"), "window").select("row", "item").distinct()
     # At most one entry for each benchmark item.
