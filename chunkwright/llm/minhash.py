@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from chunkwright.llm.components import components
 from chunkwright.llm.shingles import mix, set_id, shingle_set
-from chunkwright.runtime import few, ship, stage
+from chunkwright.runtime import few, scratched, ship, stage, tidied
 
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
@@ -91,7 +91,7 @@ def sketch(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(sids, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "sid", "bands", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col)).mapInArrow(run, "doc bigint, n bigint, sid binary, bands array<bigint>, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col)).mapInArrow(tidied(run), "doc bigint, n bigint, sid binary, bands array<bigint>, sig binary")
 
 
 def _agreeing(pairs: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
@@ -106,7 +106,7 @@ def _agreeing(pairs: DataFrame, signatures: DataFrame, similarity: float) -> Dat
             yield batch.select([0, 1]).filter(pa.array((a == b).sum(axis=1) >= least))
 
     both = pairs.join(signatures.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(signatures.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -121,8 +121,9 @@ def _sets(wanted: DataFrame, docs: DataFrame, width: int, id_col: str, text_col:
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(few(wanted.select("node")), "node", "left_semi")
     # An id that repeats with another text is dropped here by its set's id.
-    full = texts.mapInArrow(run, "node bigint, sid binary, shingles binary").join(wanted, ["node", "sid"], "left_semi")
-    return stage(full.select("node", "shingles").dropDuplicates(["node"]), "minhash-sets")
+    full = texts.mapInArrow(tidied(run), "node bigint, sid binary, shingles binary").join(wanted, ["node", "sid"], "left_semi")
+    # A node has several sets where its id came with several texts.
+    return stage(full.dropDuplicates(["node", "sid"]).select("node", "shingles"), "minhash-sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -138,7 +139,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return stage(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "minhash-links")
+    return stage(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct(), "minhash-links")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -193,16 +194,17 @@ def _unresolved(cells: DataFrame, label: DataFrame) -> DataFrame:
     return stage(marked.join(mixed, "band"), "minhash-open")
 
 
+@scratched
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable over links), kept (id = component_id).
 
     Linked: 100 * size of the intersection >= percent * size of the union.
     """
     ship(docs.sparkSession)
-    rows = stage(sketch(docs, width, id_col, text_col), "minhash-sketch")
-    firsts = stage(rows.where("n > 0 and doc is not null").groupBy("sid").agg(F.min("doc").alias("node")), "minhash-nodes")
-    own = (F.col("doc") == F.col("node")) & (F.col("n") > 0)
-    nodes = rows.join(firsts, "sid").where(own).select("node", "n", "sid", "bands", "sig")
+    rows = stage(sketch(docs, width, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "minhash-sketch")
+    least = F.min(F.struct("doc", "row"))
+    firsts = stage(rows.where("n > 0 and doc is not null").groupBy("sid").agg(least.alias("least")).select("sid", F.col("least.doc").alias("node"), F.col("least.row").alias("first")), "minhash-nodes")
+    nodes = rows.join(firsts, "sid").where("row = first").select("node", "n", "sid", "bands", "sig")
     cells = nodes.select(F.explode("bands").alias("band"), "node", "n")
     # Buckets with at least two nodes; the counts are summed before the shuffle.
     shared = cells.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("hi")).where(F.col("hub.node") < F.col("hi")).select("band", "hub")
