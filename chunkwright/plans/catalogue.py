@@ -389,7 +389,7 @@ def _(spark, sf_dir):
     return spark.createDataFrame([(o, min(n, 4)) for o, n in rows], "opened int, requests int")
 
 
-@query("open_any", "SELECT * FROM (VALUES ('', 'Group'), ('price', 'Array'), ('status', 'Group'), ('status/open', 'Array')) t(path, kind)")
+@query("array_or_group", "SELECT * FROM (VALUES ('', 'Group'), ('price', 'Array'), ('status', 'Group'), ('status/open', 'Array')) t(path, kind)")
 def _(spark, sf_dir):
     folder = _orders_group(spark, sf_dir)
     return spark.createDataFrame([(p, type(arrays.open(spark, folder, p)).__name__) for p in ("", "price", "status", "status/open")], "path string, kind string")
