@@ -7,8 +7,10 @@ settled if their joined bytes encode to just these two.  A row of tokens all of
 whose neighbours are settled is the encoding of its bytes, so the tokens outside
 the window need no second look.  ``decode`` concatenates bytes up a tree.
 
-Null text counts as empty; an empty text has no tokens.  Extra columns are not
-read.  Rows are independent: repeated rows give repeated results, and an empty
+Null text counts as empty; an empty text has no tokens.  Texts of any length are
+encoded whole, in slices that end where the pattern's matches do; only a stretch
+without a single space is held as one.  Extra columns are not read, whatever their
+names.  Rows are independent: repeated rows give repeated results, and an empty
 table gives an empty one.
 """
 
@@ -26,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkwright.runtime import ship
+from chunkwright.runtime import ship, tidied
 
 #: Spans of at most so many bytes are leaves.
 LEAF_BYTES = 24
@@ -34,18 +36,18 @@ LEAF_BYTES = 24
 HEAP_BYTES = 256
 #: Stands for the rank of a pair that isn't a token.
 NO_RANK = 1 << 40
-#: Words, pieces and token pairs that a worker remembers; at this size a memo starts anew.
-MEMO_ENTRIES = 300_000
-#: Rows of an output batch.
-SLICE_ROWS = 1024
+#: Words, pieces and token pairs that a worker remembers, each; at this size a memo starts anew. About 20 MB each at most.
+MEMO_ENTRIES = 100_000
+#: Rows of an output batch, characters that are cut into words at once, and ids that are decoded at once.
+SLICE_ROWS, SLICE_CHARS, SLICE_IDS = 256, 1 << 18, 1 << 16
 #: Longer pieces are encoded each time, so a memo's bytes stay bounded.
 MEMO_PIECE_CHARS = 64
 
 
 #: The public pattern for which a space between a character that isn't white space and one that isn't begins a match.
 SPACE_BEGINS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A space that white space or an end of the text adjoins.
-BESIDE_SPACE = regex.compile(r"\s | (?:\s|\Z)|\A ")
+#: A space that white space or an end of the text adjoins, and one that neither does.
+BESIDE_SPACE, LONE_SPACE = regex.compile(r"\s | (?:\s|\Z)|\A "), regex.compile(r"(?<=\S) (?=\S)")
 
 
 def pack(ids: list[int]) -> bytes:
@@ -83,6 +85,11 @@ class TreeBpe:
         self.piece_memo = Memo(lambda piece: pack(self.encode_bytes(piece.encode())))
         self.word_memo = Memo(lambda word: b"".join(map(self.piece_memo.__getitem__, self.pieces.findall(word))))
 
+    def forget(self) -> None:
+        """Empty the memos: a worker that lives on may run other operators next."""
+        for memo in (self.settled_memo, self.piece_memo, self.word_memo):
+            memo.clear()
+
     # encoding
 
     def span(self, data: bytes) -> list[int]:
@@ -170,14 +177,26 @@ class TreeBpe:
         """The ids of a text as little-endian unsigned 32-bit integers.
 
         A space begins a match of the pattern unless it stands beside other white
-        space or at an end of the text, so a text without such spaces splits before
-        each of them into words with the same matches.
+        space or at an end of the text.  So a text splits before each other space into
+        words that have the same matches as the whole, and a long text into slices first.
         """
-        if not self.space_begins or BESIDE_SPACE.search(text):
+        if not self.space_begins:
             return b"".join(map(self.piece_memo.__getitem__, self.pieces.findall(text)))
-        first, *rest = text.split(" ")
+        if len(text) <= SLICE_CHARS:
+            return self._words(text)
+        out, at = [], 0
+        while at < len(text):
+            cut = LONE_SPACE.search(text, at + SLICE_CHARS)
+            stop = cut.start() if cut else len(text)
+            out.append(self._words(text[at:stop]))
+            at = stop
+        return b"".join(out)
+
+    def _words(self, text: str) -> bytes:
+        # A slice begins with a space that begins a match.
+        words = LONE_SPACE.split(text) if BESIDE_SPACE.search(text) else text.split(" ")
         lookup = self.word_memo.__getitem__
-        return lookup(first) + b"".join([lookup(f" {word}") for word in rest])
+        return lookup(words[0]) + b"".join([lookup(f" {word}") for word in words[1:]])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), dtype="<u4").tolist()
@@ -213,9 +232,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         from chunkwright.llm.bpe import encoder
 
         bpe = encoder(path, pattern)
-        for batch in batches:
-            for low in range(0, len(batch), SLICE_ROWS):  # the ids of a whole batch would take several times its texts
-                yield encoded(bpe, batch.slice(low, SLICE_ROWS))
+        try:
+            for batch in batches:
+                for low in range(0, len(batch), SLICE_ROWS):  # the ids of a whole batch would take several times its texts
+                    yield encoded(bpe, batch.slice(low, SLICE_ROWS))
+        finally:
+            bpe.forget()
 
     def encoded(bpe: TreeBpe, batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, ids, digests, back = [], [], [], []
@@ -224,7 +246,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             numbers = np.frombuffer(packed, dtype="<u4")
             counts.append(len(numbers))
             digests.append(hashlib.sha256(packed).hexdigest())
-            back.append(hashlib.sha256(bpe.decode(numbers.tolist())).hexdigest())
+            whole = hashlib.sha256()
+            for at in range(0, len(numbers), SLICE_IDS):
+                whole.update(bpe.decode(numbers[at : at + SLICE_IDS].tolist()))
+            back.append(whole.hexdigest())
             if with_ids:
                 ids.append(numbers.astype("<i4"))
         columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
@@ -236,4 +261,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidied(run), schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkwright.runtime import ship
+from chunkwright.runtime import ship, tidied
 
 #: Hashed features.
 DIMS = 4096
@@ -186,7 +186,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.string()), pa.array([v.astype(np.float16).tobytes() for _, v in kept], pa.binary())], names=["label", "x"])
 
     # float16 rows of DIMS features: at most 8 KB each, and sample_rows of them a label.
-    rows = sorted(drawn.mapInArrow(run, "label string, x binary").limit(2 * sample_rows * max(1, len(counts))).collect())
+    rows = sorted(drawn.mapInArrow(tidied(run), "label string, x binary").limit(2 * sample_rows * max(1, len(counts))).collect())
     x = np.array([np.frombuffer(r["x"], dtype=np.float16) for r in rows], dtype=np.float32).reshape(len(rows), DIMS)
     return LanguageModel.fit(x, [r["label"] for r in rows])
 
@@ -201,7 +201,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = known.value
         for batch in batches:
-            texts, n = batch.column(len(keep)), len(batch)
+            texts, n = batch.column(place), len(batch)
             labels, scores = ["und"] * n, [0.0] * n
             for low in range(0, n, 256):
                 rows, vectors = [], []
@@ -217,8 +217,10 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = docs.select(*keep).schema
-    given = docs.select(*keep, F.col(text_col).alias("_text"))
-    return given.mapInArrow(run, schema.add("lang_pred", "string").add("score", "double"))
+    # A text that is kept is sent once.
+    place = keep.index(text_col) if text_col in keep else len(keep)
+    given = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("_text"))
+    return given.mapInArrow(tidied(run), schema.add("lang_pred", "string").add("score", "double"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

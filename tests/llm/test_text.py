@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import public_tokenizers
@@ -40,6 +41,27 @@ def test_spaces_beside_other_white_space(both):
     assert ours.encode(texts[0]) == [87, 11504, 331]
 
 
+def test_every_row_of_white_space(both):
+    """All strings of up to six of these, bare and between words."""
+    ours, theirs = both
+    rows = [""]
+    for _ in range(6):
+        rows = [""] + [r + c for r in rows for c in " \n\t\u00a0\u3000"]
+    rows = sorted(set(rows))
+    texts = [t for r in rows for t in (r, f"x{r}y")]
+    want = theirs.encode_ordinary_batch(texts, num_threads=2)
+    assert [t for t, ids in zip(texts, want, strict=True) if ours.encode(t) != ids] == []
+
+
+def test_long_texts_are_cut_where_matches_end(both, monkeypatch):
+    ours, theirs = both
+    monkeypatch.setattr(bpe, "SLICE_CHARS", 7)
+    rng = random.Random(12)
+    for _ in range(600):
+        t = "".join(rng.choice(["word", "'s", " ", " ", "  ", "\n", "12", ".", "\u00a0", "é"]) for _ in range(rng.choice([5, 30, 90])))
+        assert ours.encode(t) == theirs.encode_ordinary(t), t
+
+
 def test_heap_and_list_merges_agree(both):
     ours, _ = both
     rng = random.Random(6)
@@ -90,6 +112,20 @@ def test_lexer_pairs_propagation_and_scores():
     assert secrets.all_spans("He said: nothing is a secret here; tokens = many words.") == []
 
 
+def test_a_chain_of_constants_takes_time_as_its_length():
+    rng = random.Random(3)
+    pieces = ["".join(rng.choice("abcdefghXYZ01234567") for _ in range(4)) for _ in range(20_000)]
+    lines = ['k = "q7Zt19LmXw"'] + [f'k = k + "{x}"' for x in pieces] + ["token = k", "a = k + k", "secret = a"]
+    began = time.perf_counter()
+    found = secrets.lexed_spans("\n".join(lines))
+    assert time.perf_counter() - began < 8 and len(found) == 20_001
+
+
+def test_a_name_given_anew_has_its_new_value_alone():
+    text = 'x = "q7Zt19LmXw"\nx = "plain"\ntoken = x\ny = "Zz81Lm4Qw"\nsecret = y\n'
+    assert {text[a:b] for _, a, b in secrets.lexed_spans(text)} == {"Zz81Lm4Qw"}
+
+
 def test_scan_and_redact(odd_docs, no_docs, spark):
     docs = spark.createDataFrame([(1, "k token = 0123456789abcdef01 end", 5), (2, None, 6), (3, "", 7)], "doc_id long, text string, spans long")
     found = {r.doc_id: r for r in secrets.scan(docs).collect()}
@@ -162,6 +198,13 @@ def test_proximity_matches(spark):
     assert hits(0) == set() and hits(1) == {1} and hits(2) >= {1, 2}
 
 
+def test_proximity_hits_the_words_that_stand_for_terms(spark):
+    docs = spark.createDataFrame([(1, "red very green blue"), (2, "red green blue red")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
+    rows = decontam.decontaminate(docs, items, slop=1)
+    assert {r.doc_id: r.n_hit for r in rows.collect()} == {1: 3, 2: 3}
+
+
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "one", "x")], "item_id long, text string, pos string")
     found = decontam.decontaminate(odd_docs, items).collect()
