@@ -36,8 +36,8 @@ LEAF_BYTES = 24
 HEAP_BYTES = 256
 #: Stands for the rank of a pair that isn't a token.
 NO_RANK = 1 << 40
-#: Words, pieces and token pairs that a worker remembers, each; at this size a memo starts anew. About 20 MB each at most.
-MEMO_ENTRIES = 100_000
+#: Words and pieces that a worker remembers, each, and pairs of tokens. About 40 MB each at most.
+MEMO_ENTRIES = 200_000
 #: Rows of an output batch, characters that are cut into words at once, and ids that are decoded at once.
 SLICE_ROWS, SLICE_CHARS, SLICE_IDS = 256, 1 << 18, 1 << 16
 #: Longer pieces are encoded each time, so a memo's bytes stay bounded.
@@ -55,20 +55,28 @@ def pack(ids: list[int]) -> bytes:
 
 
 class Memo(dict):
-    """Remembers ``make(key)``; its size is bounded."""
+    """Remembers ``make(key)``. At half its bound it starts anew, and what it held before is still looked up, so frequent keys stay."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.before: dict = {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= MEMO_PIECE_CHARS:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= MEMO_ENTRIES // 2:
+                self.before = dict(self)
                 self.clear()
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.before = {}
+        self.clear()
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -83,12 +91,13 @@ class TreeBpe:
         self.space_begins = pattern == SPACE_BEGINS
         self.settled_memo: dict[tuple[int, int], bool] = {}
         self.piece_memo = Memo(lambda piece: pack(self.encode_bytes(piece.encode())))
-        self.word_memo = Memo(lambda word: b"".join(map(self.piece_memo.__getitem__, self.pieces.findall(word))))
+        self.word_memo = Memo(self._word)
 
     def forget(self) -> None:
         """Empty the memos: a worker that lives on may run other operators next."""
-        for memo in (self.settled_memo, self.piece_memo, self.word_memo):
-            memo.clear()
+        self.settled_memo.clear()
+        self.piece_memo.forget()
+        self.word_memo.forget()
 
     # encoding
 
@@ -192,6 +201,11 @@ class TreeBpe:
             at = stop
         return b"".join(out)
 
+    def _word(self, word: str) -> bytes:
+        pieces = self.pieces.findall(word)
+        # A word that is one piece is remembered once, as the word.
+        return pack(self.encode_bytes(word.encode())) if len(pieces) == 1 else b"".join(map(self.piece_memo.__getitem__, pieces))
+
     def _words(self, text: str) -> bytes:
         # A slice begins with a space that begins a match.
         words = LONE_SPACE.split(text) if BESIDE_SPACE.search(text) else text.split(" ")
