@@ -122,7 +122,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
     """Per row: id, n_words, n_hit (words inside occurrences), n_items, items (sorted ids), contaminated."""
     by_item = stage(windows_of(items, width).withColumn("window", F.xxhash64("words")), "windows")
     windows = by_item.groupBy("window").agg(F.first("words").alias("words"))
-    index = build_index(docs, by_item.select(F.explode("words").alias("word")))
+    index = build_index(docs, by_item.select(F.explode("words").alias("word")), id_col, text_col)
     hits, covered = find_windows(index, windows, slop)
     n_hit = covered.groupBy("row").agg(F.count("*").alias("n_hit"))
     found = hits.select("row", "window").distinct().join(by_item.select("window", "item"), "window").select("row", "item").distinct()
