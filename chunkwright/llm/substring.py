@@ -4,41 +4,46 @@ A text is its row of word shingles.  For each of several hash functions the
 Cartesian tree of the shingles' hashes splits it into compact windows (l, c, r):
 all its passages that begin in [l, c] and end in [c, r] have their least hash at c.
 Windows shorter than the least passage are left out, so a text has about
-2 * length / least passage of them.  Texts that share a passage share a window's
-hash, and an interval join keeps pairs of windows that can hold a common passage
-around their least shingle.
-
-Texts of a bucket are paired with its smallest one, never with each other.  Each
-window goes to three buckets: its least hash alone, and that hash with the shingle
-half a passage to the left, and to the right, which separates passages that share
-no more than a phrase.  A common passage that is long enough reaches one of these
-two, so every exact repeat shares such a bucket.  Hash functions follow one after
-another, so that the windows of one at a time are on disk.
-
-The smallest text of a bucket may be like none of the others.  So in the refined
-buckets of more than two windows the first hash function's windows are also laid out as the
-least passages they hold; texts that hold the same one are paired with its smallest
-text, and as equality is transitive no exact repeat is lost.  A near repeat still
-is where its texts meet only in buckets whose smallest text is like neither.
-
-Pairs are verified on their shingles: from the common one, the passages grow to
-both sides while most shingles occur in the other text, and must then be long
-enough and 80 % similar as sets.  Verified spans that overlap within a text
-make a region; regions linked by verified pairs form a class.
-
-Texts that are equal as strings collapse before all this and are expanded again
-at the end.
+2 * length / least passage of them.
+
+Windows join by their least shingle c and by an interval that both must hold: they
+meet where each reaches ``REACH`` places to the same side of c, and the shingle there
+is the same.  Each window thus has at most two buckets.  A passage that two texts share
+word by word puts them into a common bucket under every hash function, and a passage
+with edits does under most.
+
+In each bucket every text is paired with the smallest one, its hub, and never with
+all others.  A pair is verified on all its shingles at once: equal runs along the
+diagonals are chained over small gaps, and a chain is a common passage if it is long
+enough on both sides and 80 % similar as sets of shingles; one that fails is split at its
+widest gap.  So a pair finds all occurrences, wherever the windows met.
+
+The hub may be like none, or share less of a passage than others of the bucket do
+among themselves.  Two texts that share more than either does with the hub go on
+alike where their runs with the hub end.  So each run leaves two keys for each
+of its ends, its last shingle with the first and with the fifth one beyond, and texts with equal keys
+meet in a further round, under another hub.  An end that lies inside a
+verified passage of its text, with whichever other, only waits: its key counts if some other text's end there is open.
+Rounds end when they bring no new pair, and
+no list of all pairs in a bucket is ever made.  What isn't compared are two texts whose
+common run lies in passages that each of them shares with others.  Such texts are of one class as a
+rule, through the hub; where their run goes on beyond these passages, its last words may be left out of the regions.
+
+Verified spans that overlap within a text make a region; regions linked by verified
+pairs form a class.  Equal texts are one text (64 bits of a hash stand for it)
+before all this, and are expanded again at the end.
 
 Defined cases: null text and text shorter than the least passage have no region;
-equal texts that are long enough are one region each; rows that repeat an id give
-one region for that id, and don't count as another document; an empty table gives
-no rows.  Extra columns aren't read.
+equal texts that are long enough are one region each; a passage that occurs several
+times in a text gives each occurrence, if another document has it too, and none
+if no other has; rows that repeat an id and its text are one; texts of one id
+don't count as each other's document; rows without an id are left out; texts of any
+length are read whole; an empty table gives no rows.  Extra columns aren't read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,16 +51,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkwright.llm.components import components
-from chunkwright.llm.shingles import _grown, mix, shingle_hashes, word_hashes
-from chunkwright.runtime import few, ship, stage, unstage
+from chunkwright.llm.shingles import mix, shingle_hashes, word_hashes
+from chunkwright.runtime import few, scratched, ship, stage, tidied, together, unstage
 
 #: Hash functions. One finds each exact repeat; more find near repeats, whose windows differ from one to the other.
-HASHES = 4
+HASHES = 3
+#: Hash functions whose windows are on disk at a time.
+AT_ONCE = 3
 #: Least passage in words, and words of a shingle.
 LEAST_WORDS, WIDTH = 50, 5
-#: Least similarity of verified passages in per cent, and what a shingle weighs that the other text lacks, in turn.
-PERCENT, MISS = 80, (5, 8, 24)
+#: Least similarity of verified passages in per cent.
+PERCENT = 80
+#: How many places from the least shingle two windows must agree once more.
+REACH = 10
+#: Pairs that a task verifies, about.
+PAIRS_A_TASK = 2000
+#: Equal runs that a chain takes in, and the widest gap between two of them, in shingles.
+LEAST_RUN, WIDEST_GAP = 3, 48
+#: How far beyond a run's end its second key looks; runs that lack at most twice as much count their next shingle too.
+AHEAD = 5
 _SALTS = np.random.default_rng(41).integers(1, 1 << 63, size=64, dtype=np.uint64)
+_NEAR, _FAR = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
 def compact_windows(hashes: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -71,170 +87,243 @@ def compact_windows(hashes: np.ndarray, least: int) -> list[tuple[int, int, int]
     return out
 
 
+def buckets(tokens: np.ndarray, salts: np.ndarray, least: int) -> np.ndarray:
+    """The distinct buckets of a text's windows under some hash functions."""
+    if len(tokens) < least:
+        return np.zeros(0, dtype=np.int64)
+    found = []
+    for salt in salts:
+        l, c, r = np.array(compact_windows(mix(tokens ^ salt), least)).T
+        near = tokens[c] * _NEAR + salt
+        for side, there, held in ((1, c + REACH, c + REACH <= r), (2, c - REACH, c - REACH >= l)):
+            found.append(near[held] + tokens[there[held]] * _FAR + np.uint64(side))
+    return _distinct(mix(np.concatenate(found))).view(np.int64)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return np.concatenate([x[:1], x[1:][x[1:] != x[:-1]]])
+
+
 def _tokens(text: str | None, width: int) -> np.ndarray:
     words = word_hashes((text or "").encode())
     return shingle_hashes(words, width) if len(words) >= width else words[:0]
 
 
-def _windows(docs: DataFrame, least: int, width: int, salt: np.uint64) -> DataFrame:
-    """key (least hash), doc, c, left, right, and the shingles half a passage to each side, for each window of one hash function."""
-    half = least // 2 - 1
+def _met(texts: DataFrame, least: int, width: int, salts: np.ndarray) -> DataFrame:
+    """hub, doc: each text of a bucket with the smallest one in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 256):
                 part = batch.slice(low, 256)
-                found: list[list[np.ndarray]] = [[] for _ in range(7)]
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    tokens = _tokens(text.as_py(), width)
-                    if len(tokens) < least:
-                        continue
-                    keys = mix(tokens ^ salt)
-                    l, c, r = np.array(compact_windows(keys, least)).T
-                    before, after = ((tokens[at] >> np.uint64(32)) for at in (np.maximum(c - half, 0), np.minimum(c + half, len(tokens) - 1)))
-                    for i, column in enumerate((keys[c], np.full(len(c), doc), c, c - l, r - c, before, after)):
-                        found[i].append(column)
-                kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int32)
-                columns = [pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind)) for x, kind in zip(found, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "c", "left", "right", "before", "after"])
-
-    return docs.mapInArrow(run, "key bigint, doc bigint, c int, left int, right int, before int, after int")
-
-
-def _grams(docs: DataFrame, least: int, width: int) -> DataFrame:
-    """gram, doc, s: the least passages (their hash and first shingle) in the first hash function's windows whose least shingle is in ``at``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, len(batch), 64):
-                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
-                for doc, text, at in zip(*batch.slice(low, 64).columns, strict=True):
-                    tokens = _tokens(text.as_py(), width)
-                    if len(tokens) < least:
-                        continue
-                    l, c, r = np.array(compact_windows(mix(tokens ^ _SALTS[0]), least)).T
-                    kept = np.isin(c, at.values.to_numpy())
-                    first = np.maximum(l, c - least + 1)[kept]
-                    n = np.minimum(c, r - least + 1)[kept] - first + 1
-                    starts = np.repeat(first - (n.cumsum() - n), n) + np.arange(n.sum())
-                    up, down = _grown(len(tokens) + 1)
-                    sums = np.zeros(len(tokens) + 1, dtype=np.uint64)
-                    np.cumsum(tokens * up[: len(tokens)], out=sums[1:])
-                    grams = mix((sums[starts + least] - sums[starts]) * down[starts]).view(np.int64)
-                    found.append((grams, np.full(len(starts), doc.as_py(), dtype=np.int64), starts.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["gram", "doc", "s"])
-
-    return docs.select("doc", "text", "at").mapInArrow(run, "gram bigint, doc bigint, s int")
-
-
-def stars(gram: np.ndarray, doc: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """(hub, hub_s, doc, s) of passages sorted by gram, doc and place: each of another text with the hub's first, and the hub's others with the next text's first."""
-    fresh = np.flatnonzero(np.diff(gram, prepend=gram[0] ^ 1))
-    size = np.diff(fresh, append=len(gram))
-    head = np.repeat(fresh, size)
-    own = doc == doc[head]
-    following = np.add.reduceat(own, fresh)  # the hub's rows come first
-    second = np.repeat(np.where(following < size, fresh + following, -1), size)
-    other, repeat = np.flatnonzero(~own), np.flatnonzero(own & (second >= 0))
-    left, right = np.concatenate([head[other], repeat]), np.concatenate([other, second[repeat]])
-    return np.stack([doc[left], s[left].astype(np.int64), doc[right], s[right].astype(np.int64)])
-
-
-def _repeats(grams: DataFrame, least: int) -> DataFrame:
-    """hub, doc, hub_c, c: anchors of every exact repeat that ``grams`` hold; overlapping ones at one distance have one anchor for each ``least`` shingles."""
+                found = [buckets(_tokens(text.as_py(), width), salts, least) for text in part.column(1)]
+                docs = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(docs)], names=["bucket", "doc"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-        for batch in batches:
-            if not len(batch):
-                continue
-            gram, doc, s = (np.concatenate([x, y.to_numpy()]) for x, y in zip(rest, batch.columns, strict=True))
-            hub, hub_s, other, at = stars(gram, doc, s)
-            if len(hub):
-                _, one = np.unique(np.stack([hub, other, hub_s - at, at // least, hub_s // least]), axis=1, return_index=True)
-                columns = [pa.array(hub[one]), pa.array(other[one]), pa.array(hub_s[one].astype(np.int32)), pa.array(at[one].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["hub", "doc", "hub_c", "c"])
-            # The last gram may go on in the next batch: its hub's rows and the first of another text stay.
-            last = int(np.searchsorted(gram, gram[-1]))
-            keep = np.arange(last, min(len(gram), last + int((doc[last:] == doc[last]).sum()) + 1))
-            rest = [x[keep] for x in (gram, doc, s)]
+    cells = stage(texts.mapInArrow(tidied(run), "bucket bigint, doc bigint"), "passage-cells")
+    grouped = cells.groupBy("bucket").agg(F.min("doc").alias("hub"), F.max("doc").alias("hi"))
+    # The hubs are staged so that Spark can split a hot bucket's texts in the join.
+    hubs = stage(grouped.where("hub < hi").select("bucket", "hub"), "passage-hubs")
+    pairs = stage(cells.join(hubs, "bucket").where("doc > hub").select("hub", "doc").distinct(), "passage-met")
+    unstage(cells, hubs)
+    return pairs
 
-    dealt = grams.repartition("gram").sortWithinPartitions("gram", "doc", "s")
-    return dealt.mapInArrow(run, "hub bigint, doc bigint, hub_c int, c int").distinct()
 
+def _met_again(ends: DataFrame, fresh: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """hub, doc for each text whose end is open, or whose hub's is; keys without fresh ends have nothing new.
 
-def _hubs(windows: DataFrame, bucket: str) -> DataFrame:
-    """Of each bucket with several texts its first window and its size."""
-    grouped = windows.groupBy(bucket).agg(F.min(F.struct("doc", "c", "left", "right")).alias("hub"), F.max("doc").alias("hi"), F.count("*").alias("size"))
-    return grouped.where("hub.doc < hi").select(bucket, "hub", "size")
-
-
-def _extent(present: np.ndarray, at: int, miss: int) -> tuple[int, int]:
-    """The stretch around ``at`` with the most presence, an absence weighing ``miss``; the end is excluded."""
-    weights = np.where(present, 1, -miss)
-    right = weights[at:].cumsum()
-    left = weights[at::-1].cumsum()
-    return at - int(left.argmax()), at + int(right.argmax()) + 1
-
-
-def _aligned(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int, int, int]:
-    """The run of equal shingles around a common one."""
-    n, m = min(len(a) - i, len(b) - j), min(i, j)
-    ahead, behind = a[i : i + n] != b[j : j + n], (a[i - m : i] != b[j - m : j])[::-1]
-    right = int(ahead.argmax()) if ahead.any() else n
-    left = int(behind.argmax()) if behind.any() else m
-    return i - left, i + right, j - left, j + right
-
-
-def verified(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], least: int, percent: int = PERCENT) -> list[tuple[int, int, int, int]]:
-    """(start, end, start, end) of common passages in shingles, ends excluded.
-
-    Wide stretches are tried first, then ones that bear fewer absences, then equal runs.
+    ``spans`` (doc, start, end) are the passages that are verified so far; an end inside one of its text's isn't open.
     """
-    in_a, in_b = np.isin(a, b), np.isin(b, a)
-    out: list[tuple[int, int, int, int]] = []
-    for i, j in sorted(anchors):
-        if a[i] != b[j] or any(p <= i < q and s <= j < t for p, q, s, t in out[-4:]):
+    ends = ends.join(few(fresh.select("key").distinct()), "key", "left_semi")
+    # Distinct spans of one text, which are no more than a few for each of its words.
+    covered = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    inside = F.exists("spans", lambda s: (s["start"] <= F.col("low")) & (F.col("high") < s["end"] - (width - 1)))
+    wanted = ends.where("open").join(covered, "doc", "left").select("key", "doc", (~F.coalesce(inside, F.lit(False))).alias("open"))
+    ends = stage(wanted.unionByName(ends.where("not open").select("key", "doc", "open")), "passage-ends")
+    first_open = F.min(F.when(F.col("open"), F.col("doc")))
+    grouped = ends.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("hi"), first_open.alias("first"))
+    hubs = stage(grouped.where("hub < hi and first is not null").select("key", "hub", (F.col("first") == F.col("hub")).alias("hub_open")), "passage-hubs")
+    return ends.join(hubs, "key").where("doc > hub and (open or hub_open)").select("hub", "doc").distinct()
+
+
+# verification
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    x, y = _distinct(x), _distinct(y)
+    both = np.sort(np.concatenate([x, y]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _first_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) with equal shingles: each of one side with the first equal one of the other side."""
+    out = []
+    for x, y in ((a, b), (b, a)):
+        order = np.argsort(y, kind="stable")
+        known = y[order]
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        hit = np.flatnonzero(known[at] == x)
+        out.append((hit, order[at[hit]]))
+    return np.concatenate([out[0][0], out[1][1]]), np.concatenate([out[0][1], out[1][0]])
+
+
+def equal_runs(a: np.ndarray, b: np.ndarray, least: int = LEAST_RUN) -> list[tuple[int, int, int]]:
+    """(i, j, n): maximal runs a[i:i + n] == b[j:j + n], in order of i; a run that occurs often pairs with first occurrences only."""
+    if not len(a) or not len(b):
+        return []
+    i, j = _first_pairs(a, b)
+    if not len(i):
+        return []
+    wide = len(a) + 2  # so that no run goes on from one diagonal to the next
+    line = np.sort((i - j + len(b)) * wide + i)
+    line = line[np.flatnonzero(np.diff(line, prepend=-1))]
+    cut = np.flatnonzero(np.diff(line, prepend=line[0] - 2) != 1)
+    size = np.diff(cut, append=len(line))
+    cut, size = cut[size >= least], size[size >= least]
+    start = line[cut] % wide
+    shift = line[cut] // wide - len(b)
+    found, reached = [], {}
+    for i0, n, d in sorted(zip(start.tolist(), size.tolist(), shift.tolist(), strict=True)):
+        if reached.get(d, -1) >= i0:
             continue
-        for miss in (*MISS, None):
-            p, q, s, t = _aligned(a, b, i, j) if miss is None else (*_extent(in_a, i, miss), *_extent(in_b, j, miss))
-            if q - p < least or t - s < least:
+        # Shingles that occur earlier, too, leave holes in a run.
+        j0, i1 = i0 - d, i0 + n
+        same = a[i1 : i1 + len(b) - (i1 - d)] == b[i1 - d : i1 - d + len(a) - i1]
+        n += len(same) if same.all() else int(same.argmin())
+        back = min(i0, j0)
+        same = (a[i0 - back : i0] == b[j0 - back : j0])[::-1]
+        more = back if same.all() else int(same.argmin())
+        reached[d] = i0 + n
+        found.append((i0 - more, j0 - more, n + more))
+    return sorted(found)
+
+
+def chained(runs: list[tuple[int, int, int]], gap: int = WIDEST_GAP) -> list[list[tuple[int, int, int]]]:
+    """Runs that follow each other on both sides with small gaps, the nearest diagonal first."""
+    open_: list[list[tuple[int, int, int]]] = []
+    done: list[list[tuple[int, int, int]]] = []
+    for i, j, n in runs:
+        live, best, least = [], None, None
+        for chain in open_:
+            p, q, m = chain[-1]
+            if i - (p + m) > gap:
+                done.append(chain)
                 continue
-            x, y = np.unique(a[p:q]), np.unique(b[s:t])
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * shared >= percent * (len(x) + len(y) - shared):
-                out.append((p, q, s, t))
-                break
+            live.append(chain)
+            ahead, beside = i - (p + m), j - (q + m)
+            if -WIDTH <= ahead and -WIDTH <= beside <= gap and i > p and j > q and (least is None or abs(ahead - beside) < least):
+                best, least = chain, abs(ahead - beside)
+        open_ = live
+        if best is None:
+            open_.append([(i, j, n)])
+        else:
+            best.append((i, j, n))
+    return done + open_
+
+
+def verified(a: np.ndarray, b: np.ndarray, least: int, percent: int = PERCENT, runs: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int, int]]:
+    """(start, end, start, end) of common passages in shingles, ends excluded."""
+    todo = chained(equal_runs(a, b) if runs is None else runs)
+    todo.sort(key=lambda c: -(c[-1][0] + c[-1][2] - c[0][0]))
+    out: list[tuple[int, int, int, int]] = []
+    for whole in todo:
+        parts = [whole]
+        while parts:
+            chain = parts.pop()
+            (p, s, _), (i, j, n) = chain[0], chain[-1]
+            q, t = i + n, j + n
+            if q - p < least or t - s < least or any(w <= p and q <= x and y <= s and t <= z for w, x, y, z in out):
+                continue
+            if len(chain) > 1 and not _similar(a[p:q], b[s:t], percent):
+                gaps = [max(v[0] - u[0], v[1] - u[1]) - u[2] for u, v in zip(chain, chain[1:], strict=False)]
+                cut = gaps.index(max(gaps)) + 1
+                parts += [chain[:cut], chain[cut:]]
+                continue
+            out.append((p, q, s, t))
     return out
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, least: int, width: int, percent: int) -> DataFrame:
-    """hub, hub_start, hub_end, doc, start, end (words, ends excluded) of verified passages."""
+def run_ends(b: np.ndarray, runs: list[tuple[int, int, int]], spans: list[tuple[int, int, int, int]], least: int) -> set[tuple[int, int, int, bool]]:
+    """(key, low, high, open) of the ends of runs that could hold a bucket, for the second text of a pair; low and high are the two shingles that make a key."""
+    out = set()
+    for _, j, n in runs:
+        if n <= REACH:
+            continue
+        for side, edge, step in ((1, j + n - 1, 1), (2, j, -1)):
+            for ahead in (1, AHEAD):
+                there = edge + step * ahead
+                if not 0 <= there < len(b) or (ahead == 1 and n < least - 2 * AHEAD):
+                    continue
+                low, high = min(edge, there), max(edge, there)
+                inside = any(s <= low and high < t for _, _, s, t in spans)
+                key = (int(b[edge]) * int(_NEAR) + int(b[there]) * int(_FAR) + 2 * ahead + side) & 0x7FFFFFFFFFFFFFFF
+                # Beyond a verified run only a stretch of its own counts.
+                out.add((key, low, high, not inside and not (ahead == 1 and n >= least)))
+    return out
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, len(batch), 256):
-                part = batch.slice(low, 256)
-                packed = [(_tokens(t.as_py(), width) >> np.uint64(32)).astype(np.uint32).tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["doc", "tokens"])
+
+def _verify(pairs: DataFrame, tokens: DataFrame, least: int, width: int, percent: int) -> DataFrame:
+    """Links: hub, hub_start, hub_end, doc, start, end (words, ends excluded) of verified passages. Ends of runs: doc, key, low, high, open."""
+    names = ["hub", "hub_start", "hub_end", "doc", "start", "end", "key", "low", "high", "open"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for hub, doc, anchors, x, y in zip(*batch.columns, strict=True):
+            for hub, doc, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 a, b = (np.frombuffer(v.as_buffer(), dtype=np.uint32) for v in (x, y))
-                at = [(p["hub_c"], p["c"]) for p in anchors.as_py() if p["hub_c"] < len(a) and p["c"] < len(b)]
-                for p, q, s, t in verified(a, b, at, least, percent):
-                    rows.append((hub.as_py(), p, q + width - 1, doc.as_py(), s, t + width - 1))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["hub", "hub_start", "hub_end", "doc", "start", "end"])
+                runs = equal_runs(a, b)
+                spans = verified(a, b, least, percent, runs)
+                rows += [(hub, p, q + width - 1, doc, s, t + width - 1, *[None] * 4) for p, q, s, t in spans]
+                rows += [(None, None, None, doc, None, None, *end) for end in run_ends(b, runs, spans, least)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 10
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if name == "open" else pa.int64()) for c, name in zip(columns, names, strict=True)], names=names)
+
+    both = pairs.join(tokens.select("doc", F.col("tokens").alias("y")), "doc").join(tokens.select(F.col("doc").alias("hub"), F.col("tokens").alias("x")), "hub")
+    return both.select("hub", "doc", "x", "y").mapInArrow(tidied(compare), ", ".join(f"{n} {'boolean' if n == 'open' else 'bigint'}" for n in names))
 
-    involved = pairs.select(F.col("hub").alias("doc")).unionByName(pairs.select("doc")).distinct()
-    tokens = stage(docs.join(few(involved), "doc", "left_semi").mapInArrow(shingled, "doc bigint, tokens binary").dropDuplicates(["doc"]), "passage-tokens")
-    both = pairs.join(tokens.select(F.col("doc").alias("hub"), F.col("tokens").alias("x")), "hub").join(tokens.select("doc", F.col("tokens").alias("y")), "doc")
-    return both.select("hub", "doc", "anchors", "x", "y").mapInArrow(compare, "hub bigint, hub_start bigint, hub_end bigint, doc bigint, start bigint, end bigint")
 
+def _tokens_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, len(batch), 256):
+                part = batch.slice(low, 256)
+                packed = [(_tokens(t.as_py(), width) >> np.uint64(32)).astype(np.uint32).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["doc", "tokens"])
 
+    found = texts.join(few(wanted), "doc", "left_semi").select("doc", "text").mapInArrow(tidied(shingled), "doc bigint, tokens binary")
+    return stage(found.dropDuplicates(["doc"]), "passage-tokens")
+
+
+def _links(texts: DataFrame, least: int, width: int, percent: int, hashes: int) -> DataFrame:
+    """All verified links between different texts, over as many rounds as bring new pairs."""
+    met = [_met(texts, least, width, _SALTS[i : min(hashes, i + AT_ONCE)]) for i in range(0, hashes, AT_ONCE)]
+    pairs = stage(together(met).distinct(), "passage-pairs")
+    unstage(*met)
+    both = lambda p: p.select(F.col("hub").alias("doc")).unionByName(p.select("doc")).distinct()
+    # Whoever meets in a later round was in a pair of the first.
+    tokens = _tokens_of(texts, both(pairs), width)
+    compared, found, n, slots = [pairs], [], pairs.count(), texts.sparkSession.sparkContext.defaultParallelism
+    while n:
+        needed = tokens.join(few(both(pairs)), "doc", "left_semi") if found else tokens
+        # Late rounds have few pairs, and should have few files.
+        links = _verify(pairs, needed, least, width, percent).coalesce(max(slots, -(-n // PAIRS_A_TASK)))
+        found.append(stage(links, "passage-links"))
+        seen = together(found)
+        ends, fresh = (t.where("key is not null").select("key", "doc", "low", "high", "open") for t in (seen, found[-1]))
+        links = seen.where("hub is not null")
+        spans = links.select("doc", "start", "end").unionByName(links.select(F.col("hub").alias("doc"), F.col("hub_start").alias("start"), F.col("hub_end").alias("end")))
+        pairs = stage(_met_again(ends, fresh, spans, width).join(together(compared), ["hub", "doc"], "left_anti"), "passage-pairs")
+        compared.append(pairs)
+        n = pairs.count()
+    if not found:
+        found = [stage(_verify(pairs, tokens, least, width, percent), "passage-links")]
+    unstage(tokens, *compared)
+    return together(found).where("hub is not null").select("hub", "hub_start", "hub_end", "doc", "start", "end")
+
+
+@scratched
 def passages(docs: DataFrame, least_words: int = LEAST_WORDS, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES) -> DataFrame:
     """Per region of a document that another document has too: id, start, end (in words, end excluded), class_id, class_start.
 
@@ -242,42 +331,16 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, width: int = WIDTH
     """
     ship(docs.sparkSession)
     least = least_words - width + 1
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("doc").isNotNull())
-    prints = stage(rows.select("doc", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("g"), F.octet_length("text").alias("size")), "passage-prints")
-    same = ["h", "g", "size"]
-    groups = prints.groupBy(*same).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    copies = stage(prints.join(groups, same).select("doc", "first"), "passage-copies")
-    own = rows.join(few(copies.where("doc > first").select("doc").distinct()), "doc", "left_anti")
-
-    nears = []
-    for number, salt in enumerate(_SALTS[:hashes]):
-        windows = stage(_windows(own, least, width, salt), "passage-windows")
-        shared = _hubs(windows, "key")
-        met = stage(windows.join(shared, "key"), "passage-met")
-        del shared
-        unstage(windows)
-        keyed = stage(met.select("doc", "c", "left", "right", F.explode(F.array(F.xxhash64("key", "before", F.lit(1)), F.xxhash64("key", "after", F.lit(2)))).alias("bucket")), "passage-buckets")
-        hubs = _hubs(keyed, "bucket")
-        # The interval join: both windows hold a passage around the common shingle, up to the similarity's slack.
-        room = F.least("left", "hub.left") + F.least("right", "hub.right") + 1
-        paired = [x.where((F.col("doc") > F.col("hub.doc")) & (room * 100 >= least * percent)).select(F.col("hub.doc").alias("hub"), "doc", F.col("hub.c").alias("hub_c"), "c") for x in (met, keyed.join(hubs, "bucket"))]
-        nears.append(stage(paired[0].unionByName(paired[1]).distinct(), "passage-near"))
-        if number == 0:
-            # Buckets of two windows are settled by their one pair.
-            crowded = hubs.where("size > 2").select("bucket")
-            places = stage(keyed.join(crowded, "bucket", "left_semi").groupBy("doc").agg(F.collect_set("c").alias("at")), "passage-crowded")
-            del crowded
-        del paired, hubs
-        unstage(met, keyed)
-    near = reduce(DataFrame.unionByName, nears)
-    anchors = near.unionByName(_repeats(_grams(own.join(places, "doc"), least, width), least))
-    pairs = stage(anchors.groupBy("hub", "doc").agg(F.collect_set(F.struct("hub_c", "c")).alias("anchors")), "passage-pairs")
-    del anchors, near
-    unstage(*nears, places)
-    links = stage(_verify(pairs, own, least, width, percent), "passage-links")
-    unstage(pairs)
-
-    whole = rows.join(few(copies.where("doc = first").select("doc").distinct()), "doc", "left_semi").select("doc", F.lit(0).cast("long").alias("start"), _word_count("text").alias("end")).where(F.col("end") >= least_words)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("id").isNotNull()).withColumn("doc", F.xxhash64("text"))
+    prints = stage(rows.select("id", "doc").distinct(), "passage-prints")
+    groups = stage(prints.groupBy("doc").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("doc", "first"), "passage-groups")
+    copies = prints.join(groups.select("doc", "first"), "doc").where("id > first").select("id", "doc")
+    texts = rows.join(few(copies), ["id", "doc"], "left_anti").select("doc", "text")
+    links = _links(texts, least, width, percent, hashes)
+
+    # Staged, or else Spark counts the words of all texts, to filter them before the join.
+    counted = stage(texts.join(few(groups.select("doc")), "doc", "left_semi").select("doc", _word_count("text").alias("end")), "passage-counts")
+    whole = counted.distinct().where(F.col("end") >= least_words).select("doc", F.lit(0).cast("long").alias("start"), "end")
     spans = links.select("doc", "start", "end").unionByName(links.select(F.col("hub").alias("doc"), F.col("hub_start").alias("start"), F.col("hub_end").alias("end"))).unionByName(whole)
     spans = spans.groupBy("doc", "start").agg(F.max("end").alias("end"))
     order = Window.partitionBy("doc").orderBy("start")
@@ -288,12 +351,11 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, width: int = WIDTH
     place = spans.join(regions.select("doc", "region", "node"), ["doc", "region"]).select("doc", "start", "node")
     linked = links.join(place, ["doc", "start"]).select("hub", "hub_start", F.col("node").alias("u"))
     edges = linked.join(place.select(F.col("doc").alias("hub"), F.col("start").alias("hub_start"), F.col("node").alias("v")), ["hub", "hub_start"]).select("u", "v")
-    named = regions.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = named.groupBy("component").agg(F.min(F.struct("doc", "region")).alias("first"))
-    out = named.join(first, "component").select("doc", F.col("region").alias("start"), "end", F.col("first.doc").alias("class_id"), F.col("first.region").alias("class_start"))
+    named = regions.join(components(edges), "node", "left").select("doc", F.col("region").alias("start"), "end", F.coalesce("component", "node").alias("component"))
     # Equal texts have the same regions.
-    expanded = out.join(copies.where("doc > first").distinct().select(F.col("doc").alias("copy"), F.col("first").alias("doc")), "doc").select(F.col("copy").alias("doc"), "start", "end", "class_id", "class_start")
-    return out.unionByName(expanded).withColumnRenamed("doc", id_col)
+    out = stage(named.join(prints.select("id", "doc"), "doc").select("id", "start", "end", "component").distinct(), "passage-out")
+    first = out.groupBy("component").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last")).where("first.id < last")
+    return out.join(first, "component").select(F.col("id").alias(id_col), "start", "end", F.col("first.id").alias("class_id"), F.col("first.start").alias("class_start"))
 
 
 def _word_count(text_col: str):

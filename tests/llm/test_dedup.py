@@ -103,6 +103,7 @@ def test_compact_windows_cover_each_passage_once():
 
     hashes = np.array([rng.randrange(40) for _ in range(60)], dtype=np.uint64)
     windows = substring.compact_windows(hashes, 5)
+    assert all(b - a >= 4 for a, _, b in windows) and substring.compact_windows(hashes[:4], 5) == []
     for i in range(60):
         for j in range(i + 4, 60):
             holds = [(a, c, b) for a, c, b in windows if a <= i <= c <= j <= b]
@@ -158,7 +159,6 @@ def test_exact_repeats_meet_past_a_smaller_text(spark, make_prose):
 
 
 def test_passages_with_an_inserted_word(spark, make_prose):
-    """The shingles half a passage away then lie at different distances, so such texts meet by the least hash alone."""
     docs = []
     for k in range(40):
         passage = make_prose(2000 + k, 60).split()
@@ -168,15 +168,106 @@ def test_passages_with_an_inserted_word(spark, make_prose):
     assert len({r.doc_id // 2 for r in found}) >= 39
 
 
-def test_stars_across_batches():
+def covered(found):
+    out = defaultdict(set)
+    for r in found:
+        out[r.doc_id].update(range(r.start, r.end))
+    return out
+
+
+def test_each_of_many_occurrences_counts(spark, make_prose):
+    """40 documents hold one passage twice, and every other one a boilerplate line behind it that many more documents have."""
+    passage, line = make_prose(3000, 55), make_prose(3001, 30)
+    docs, want = [], {}
+    for k in range(40):
+        parts = [make_prose(3100 + k, 30 + k), passage, line if k % 2 else "", make_prose(3200 + k, 60), passage, make_prose(3300 + k, 20)]
+        docs.append((k, " ".join(parts)))
+        second = 30 + k + 55 + (30 if k % 2 else 0) + 60
+        want[k] = {*range(30 + k, 85 + k), *range(second, second + 55)}
+    docs += [(100 + k, f"{make_prose(3400 + k, 50)} {line} {make_prose(3500 + k, 50)}") for k in range(30)]
+    found = substring.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = covered(found)
+    assert all(want[k] <= got[k] for k in range(40)) and set(got) == set(range(40)) and {r.class_id for r in found} == {0}
+
+
+def test_shared_beyond_any_hub(spark, make_prose):
+    """Texts share parts of one long text, each pair another stretch; whichever is a bucket's hub, every repeat of 50 words counts but for four words at most."""
+    rng, words, docs = random.Random(31), make_prose(3600, 400).split(), []
+    for k in range(30):
+        at, n = rng.randrange(0, 340), rng.choice([30, 45, 52, 60, 90])
+        docs.append((k, f"{make_prose(3700 + k, 40)} {' '.join(words[at : at + n])} {make_prose(3800 + k, 40)}"))
+    plain, grams = {d: word_list(t) for d, t in docs}, defaultdict(set)
+    for d, w in plain.items():
+        for i in range(len(w) - 49):
+            grams[tuple(w[i : i + 50])].add(d)
+    got = covered(substring.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    wanted = 0
+    for d, w in plain.items():
+        for i in range(len(w) - 49):
+            if len(grams[tuple(w[i : i + 50])]) > 1:
+                wanted += 1
+                assert len(set(range(i, i + 50)) - got[d]) < substring.AHEAD, (d, i)
+    assert wanted > 60
+
+
+def test_recall_of_near_repeats(spark):
+    """Passages of 60 to 150 words, one to three edits, against every pair that verification by itself accepts."""
+    rng, docs, pairs = random.Random(17), [], []
+    fresh = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    for k in range(240):
+        n, edits = rng.choice([(60, 1), (60, 1), (100, 2), (150, 3)])
+        passage = fresh(n)
+        edited = list(passage)
+        for at in sorted(rng.sample(range(6, n - 6), edits), reverse=True):
+            edited[at : at + rng.choice([0, 1])] = fresh(rng.choice([0, 1])) or ["gone"]
+        a, b = (" ".join(fresh(rng.randrange(30, 90)) + p + fresh(rng.randrange(30, 90))) for p in (passage, edited))
+        docs += [(2 * k, a), (2 * k + 1, b)]
+        tokens = [(substring._tokens(t, 5) >> 32).astype("uint32") for t in (a, b)]
+        if substring.verified(*tokens, 46):
+            pairs.append((k, edits))
+    found = substring.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    classes = {r.doc_id: r.class_id for r in found}
+    for n in (1, 2, 3):
+        of = [k for k, edits in pairs if edits == n]
+        hit = sum(classes.get(2 * k) == classes.get(2 * k + 1) == 2 * k for k in of)
+        print(f"recall with {n} edits: {hit} of {len(of)}")
+        assert len(of) >= 20 and hit >= 0.9 * len(of)
+    assert all(r.class_id // 2 == r.doc_id // 2 for r in found)
+
+
+def test_runs_and_chains_by_brute_force():
     import numpy as np
 
-    gram, doc, s = np.array([[3, 3, 3, 3, 5, 7, 7], [1, 1, 2, 4, 1, 6, 6], [0, 9, 2, 5, 7, 1, 3]])
-    found = sorted(zip(*substring.stars(gram, doc, s).tolist(), strict=True))
-    assert found == [(1, 0, 2, 2), (1, 0, 2, 2), (1, 0, 4, 5), (1, 9, 2, 2)]
+    rng = random.Random(23)
+    for _ in range(300):
+        a, b = (np.array([rng.randrange(9) for _ in range(rng.randrange(1, 60))], dtype=np.uint32) for _ in range(2))
+        runs = substring.equal_runs(a, b, 3)
+        longest = 0
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                longest = max(longest, n)
+        assert all((a[i : i + n] == b[j : j + n]).all() and (i + n == len(a) or j + n == len(b) or a[i + n] != b[j + n]) and (i == 0 or j == 0 or a[i - 1] != b[j - 1]) for i, j, n in runs)
+        assert sorted({(i - j, i) for i, j, _ in runs}) == sorted((i - j, i) for i, j, _ in runs)
+    unique = np.arange(200, dtype=np.uint32)
+    assert substring.verified(unique, np.concatenate([unique[150:] + 500, unique[20:150]]), 46) == [(20, 150, 50, 180)]
+    line = np.tile(np.arange(12, dtype=np.uint32), 300)
+    assert substring.verified(line, line[:2400], 46)
 
 
 def test_passages_odd_rows(odd_docs, no_docs):
     found = substring.passages(odd_docs).collect()
     assert {r.doc_id for r in found} == {1, 4} and all((r.start, r.end, r.class_id) == (0, 120, 1) for r in found)
     assert substring.passages(no_docs).count() == 0
+
+
+def test_an_id_with_several_texts(spark, make_prose):
+    a, b = make_prose(90, 150), make_prose(91, 150)
+    docs = [(1, a), (1, b), (2, a), (3, b), (4, f"{make_prose(92, 60)} {make_prose(93, 60)}"), (4, f"{make_prose(93, 60)} {make_prose(94, 60)}"), (None, a)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    linked = {r.doc_id: r.component_id for r in minhash.near_duplicates(table).collect() if r.doc_id}
+    assert linked == {1: 1, 2: 1, 3: 1, 4: 4}
+    found = {(r.doc_id, r.start, r.end, r.class_id) for r in substring.passages(table).collect()}
+    assert found == {(1, 0, 150, 1), (2, 0, 150, 1), (3, 0, 150, 1)}
