@@ -36,8 +36,8 @@ LEAF_BYTES = 24
 HEAP_BYTES = 256
 #: Stands for the rank of a pair that isn't a token.
 NO_RANK = 1 << 40
-#: Words and pieces that a worker remembers, each, and pairs of tokens. About 40 MB each at most.
-MEMO_ENTRIES = 200_000
+#: Words and pieces that a worker remembers, each, and pairs of tokens, unless told otherwise. 100,000 take about 20 MB.
+MEMO_ENTRIES = 800_000
 #: Rows of an output batch, characters that are cut into words at once, and ids that are decoded at once.
 SLICE_ROWS, SLICE_CHARS, SLICE_IDS = 256, 1 << 18, 1 << 16
 #: Longer pieces are encoded each time, so a memo's bytes stay bounded.
@@ -57,9 +57,9 @@ def pack(ids: list[int]) -> bytes:
 class Memo(dict):
     """Remembers ``make(key)``. At half its bound it starts anew, and what it held before is still looked up, so frequent keys stay."""
 
-    def __init__(self, make):
+    def __init__(self, make, bound: int):
         super().__init__()
-        self.make = make
+        self.make, self.bound = make, bound
         self.before: dict = {}
 
     def __missing__(self, key):
@@ -67,7 +67,7 @@ class Memo(dict):
         if value is None:
             value = self.make(key)
         if len(key) <= MEMO_PIECE_CHARS:
-            if len(self) >= MEMO_ENTRIES // 2:
+            if len(self) >= self.bound // 2:
                 self.before = dict(self)
                 self.clear()
             self[key] = value
@@ -84,14 +84,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class TreeBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_entries: int = MEMO_ENTRIES):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.pieces = regex.compile(pattern)
         self.space_begins = pattern == SPACE_BEGINS
         self.settled_memo: dict[tuple[int, int], bool] = {}
-        self.piece_memo = Memo(lambda piece: pack(self.encode_bytes(piece.encode())))
-        self.word_memo = Memo(self._word)
+        self.piece_memo = Memo(lambda piece: pack(self.encode_bytes(piece.encode())), memo_entries)
+        self.word_memo = Memo(self._word, memo_entries)
+        self.memo_entries = memo_entries
 
     def forget(self) -> None:
         """Empty the memos: a worker that lives on may run other operators next."""
@@ -155,7 +156,7 @@ class TreeBpe:
         key = (a, b)
         known = self.settled_memo.get(key)
         if known is None:
-            if len(self.settled_memo) >= MEMO_ENTRIES:
+            if len(self.settled_memo) >= self.memo_entries:
                 self.settled_memo.clear()
             known = self.settled_memo[key] = self.span(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
@@ -227,31 +228,38 @@ class TreeBpe:
         return level[0] if level else b""
 
 
-_ENCODERS: dict[tuple[str, str], TreeBpe] = {}
+_ENCODERS: dict[tuple[str, str, int], TreeBpe] = {}
 
 
-def encoder(path: str, pattern: str) -> TreeBpe:
-    """One encoder for each worker process and vocabulary."""
-    key = (path, pattern)
+def encoder(path: str, pattern: str, memo_entries: int = MEMO_ENTRIES) -> TreeBpe:
+    """One encoder for each worker process, vocabulary and size of memo."""
+    key = (path, pattern, memo_entries)
     if key not in _ENCODERS:
-        _ENCODERS[key] = TreeBpe(load_ranks(path), pattern)
+        _ENCODERS[key] = TreeBpe(load_ranks(path), pattern, memo_entries)
     return _ENCODERS[key]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """Per document: its id, n_tokens, ids (if wanted), ids_sha256, decoded_sha256 (of the ids decoded again)."""
+def encode_documents(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, memo_entries: int = MEMO_ENTRIES, keep_memos: bool = True
+) -> DataFrame:
+    """Per document: its id, n_tokens, ids (if wanted), ids_sha256, decoded_sha256 (of the ids decoded again).
+
+    Workers remember up to ``memo_entries`` words and pieces. Where they share an executor's memory with other operators' work,
+    fewer entries, emptied at the end of each task (``keep_memos``), trade time for space; the result is the same.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from chunkwright.llm.bpe import encoder
 
-        bpe = encoder(path, pattern)
+        bpe = encoder(path, pattern, memo_entries)
         try:
             for batch in batches:
                 for low in range(0, len(batch), SLICE_ROWS):  # the ids of a whole batch would take several times its texts
                     yield encoded(bpe, batch.slice(low, SLICE_ROWS))
         finally:
-            bpe.forget()
+            if not keep_memos:
+                bpe.forget()
 
     def encoded(bpe: TreeBpe, batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, ids, digests, back = [], [], [], []

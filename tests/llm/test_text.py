@@ -70,9 +70,8 @@ def test_heap_and_list_merges_agree(both):
         assert ours.span(data) == ours._span_by_heap(data)
 
 
-def test_memo_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 10)
-    memo = bpe.Memo(len)
+def test_memo_is_bounded():
+    memo = bpe.Memo(len, 10)
     assert [memo["x" * (i % 50)] for i in range(500)] == [i % 50 for i in range(500)] and len(memo) <= 10
 
 
@@ -85,6 +84,8 @@ def test_encode_documents(both, odd_docs, no_docs):
     for r in found:
         want = theirs.encode_ordinary(texts[r.doc_id])
         assert (r.ids, r.n_tokens) == (want, len(want)) and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    small = bpe.encode_documents(odd_docs, path, public_tokenizers.PATTERN, memo_entries=4, keep_memos=False).collect()
+    assert sorted(map(str, small)) == sorted(map(str, found))
     assert bpe.encode_documents(no_docs, path, public_tokenizers.PATTERN).count() == 0
 
 
