@@ -158,10 +158,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     ask_salts = max(1, -(-n_asked // BLOCK_QUERIES))
 
     def block(m: int):
-        key, out = F.col("keys")[m], F.lit(0)
-        for bound in bounds[m]:
-            out = out + F.when(key >= F.lit(bound), 1).otherwise(0)
-        return out
+        key = F.col("keys")[m]
+        return F.size(F.filter(F.array(*map(F.lit, bounds[m])).cast("array<bigint>"), lambda bound: bound <= key))
 
     placed = both.withColumn("at", F.explode(F.array(*(F.struct(F.lit(m).alias("m"), block(m).alias("b")) for m in range(orderings)))))
     base = placed.where("not is_query").select("id", "v", "is_query", "at.m", "at.b", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
