@@ -9,17 +9,17 @@ import struct
 import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkwright.errors import ArrayError, SliceError
 from chunkwright.operators.array import Array, Group
-from chunkwright.runtime import ship, stage
+from chunkwright.runtime import scratched, ship, stage
 from chunkwright.sources.caches import Cache
 from chunkwright.sources.reader import ReadOptions
 
@@ -27,7 +27,7 @@ from chunkwright.sources.reader import ReadOptions
 KM_PER_DEGREE = 111.195
 MAGIC = 0x44495247
 KEY_PREFIX = "gridindex:"
-#: Grids up to this size go to the executors whole; larger ones are joined cell by cell.
+#: Grids up to this size go to the executors whole; larger ones are joined block by block.
 BROADCAST_BYTES = 256 << 20
 
 
@@ -195,44 +195,146 @@ class GridIndex:
         return given.mapInArrow(run, schema)
 
 
-#: Widths of the tiles, in degrees, that points and cells meet in, one after another.
-TILE_DEGREES = (0.25, 1.0, 4.0, 16.0, 64.0, 1024.0)
-#: Near the poles a point looks at so many tiles of longitude to a side, at most.
-MOST_TILES = 50
-
+#: Cells of a block, at most, where points and cells meet.
+BLOCK_CELLS = 4096
+
+
+class _Boxes:
+    """The bounds of blocks that lie in slabs (``block >> 32``): which of them may hold a point's nearest cell."""
+
+    def __init__(self, table: pa.Table):
+        self.block = table.column("_block").to_numpy()
+        self.bounds = np.stack([table.column(c).to_numpy() for c in ("y0", "y1", "x0", "x1")])
+        first = np.flatnonzero(np.diff(self.block >> 32, prepend=-1))
+        self.first = np.append(first, len(self.block))
+        self.slabs = np.stack([(np.minimum if k % 2 == 0 else np.maximum).reduceat(self.bounds[k], first) for k in range(4)])
+
+    @staticmethod
+    def _least(bounds: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        """[point, box]: squared degrees that a cell inside is away, at least."""
+        y0, y1, x0, x1 = bounds
+        d_lat = np.maximum(np.maximum(y0 - lat[:, None], lat[:, None] - y1), 0)
+        d_lon = np.maximum(np.maximum(x0 - lon[:, None], lon[:, None] - x1), 0) * np.cos(lat * np.pi / 180)[:, None]
+        return d_lat * d_lat + d_lon * d_lon
+
+    def closest(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        """A block near each point: the one with the nearest box in the slab with the nearest box."""
+        slab, found = self._least(self.slabs, lat, lon).argmin(axis=1), np.zeros(len(lat), dtype=np.int64)
+        for k in np.unique(slab):
+            own, low, high = np.flatnonzero(slab == k), self.first[k], self.first[k + 1]
+            found[own] = self.block[low + self._least(self.bounds[:, low:high], lat[own], lon[own]).argmin(axis=1)]
+        return found
+
+    def within(self, lat: np.ndarray, lon: np.ndarray, squared: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places of points, their blocks): all blocks that may hold a cell as near as the squared degrees, slab by slab."""
+        bound = squared * (1 + 1e-9) + 1e-24
+        near = self._least(self.slabs, lat, lon) <= bound[:, None]
+        for k in np.flatnonzero(near.any(axis=0)):
+            own, low, high = np.flatnonzero(near[:, k]), self.first[k], self.first[k + 1]
+            point, box = np.nonzero(self._least(self.bounds[:, low:high], lat[own], lon[own]) <= bound[own, None])
+            yield own[point], self.block[low + box]
+
+
+def _blocked(cells: DataFrame) -> DataFrame:
+    """Cells (_i, _j, _y, _x) with the _block of each: equal slabs by latitude, cut into blocks along the longitude. Cells at one place are one."""
+    size = BLOCK_CELLS
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slab, seen, last = TaskContext.get().partitionId() << 32, 0, (np.nan, np.nan)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y, x = (batch.column(c).to_numpy() for c in ("_y", "_x"))
+            new = (np.diff(y, prepend=last[0]) != 0) | (np.diff(x, prepend=last[1]) != 0)  # sorted: the first of a place has the least i, j
+            last = y[-1], x[-1]
+            kept = batch.filter(pa.array(new))
+            block = slab + (seen + np.arange(kept.num_rows)) // size
+            seen += kept.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(block), *kept.columns], names=["_block", *batch.schema.names])
+
+    slabs = max(1, round((cells.count() / size) ** 0.5))
+    laid = cells.repartitionByRange(slabs, "_y", "_x", "_i", "_j").sortWithinPartitions("_x", "_y", "_i", "_j")
+    return laid.mapInArrow(cut, "_block bigint, _i bigint, _j bigint, _y double, _x double")
+
+
+def _met(cells: DataFrame, points: DataFrame) -> DataFrame:
+    """The nearest cell in its _block of each point (_block, _point, _y, _x): _block, _point, _y, _x, d, i, j.
+
+    A task streams its blocks, each block's cells before its points, and holds the cells of one block; all points of a block are one task's.
+    """
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, index = None, [], None
+        for batch in batches:
+            block = batch.column("_block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if low == high:
+                    continue
+                if block[low] != current:
+                    current, held, index = block[low], [], None
+                part = batch.slice(low, high - low)
+                n = part.column("_point").null_count
+                if n:
+                    held.append([part.slice(0, n).column(c).to_numpy() for c in ("_i", "_j", "_y", "_x")])
+                if n == part.num_rows:
+                    continue
+                if index is None:
+                    i, j, y, x = (np.concatenate(c) for c in zip(*held, strict=True))
+                    order = np.lexsort((j, i))
+                    i, j, index, held = i[order], j[order], _Searcher(y[order], x[order]), []
+                asked = part.slice(n)
+                cell, squared = index.find(*(asked.column(c).to_numpy() for c in ("_y", "_x")))
+                yield pa.RecordBatch.from_arrays([*(asked.column(c) for c in ("_block", "_point", "_y", "_x")), pa.array(squared), pa.array(i[cell]), pa.array(j[cell])], names=["_block", "_point", "_y", "_x", "d", "i", "j"])
+
+    none = F.lit(None).cast("long")
+    both = cells.select("_block", none.alias("_point"), "_i", "_j", "_y", "_x").union(points.select("_block", "_point", none, none, "_y", "_x"))
+    sorted_ = both.repartition("_block").sortWithinPartitions(F.col("_block"), F.col("_point").asc_nulls_first())
+    return sorted_.mapInArrow(search, "_block bigint, _point bigint, _y double, _x double, d double, i bigint, j bigint")
+
+
+@scratched
 def nearest_join(points: DataFrame, cells: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """``nearest_many`` for grids that are too large to copy: points meet the cells of the tiles around them.
+    """``nearest_many`` for grids that are too large to copy: points meet the cells of blocks, of which only the bounds are copied.
 
-    A point is settled if no cell outside these tiles can be nearer than the best one inside. The others go on to wider tiles; the widest
-    hold all there is, and only points far from every cell, or at a pole, get there.
+    A point looks into a block near it first, then into every other block whose bounds are no farther than the cell found there.
     """
+    spark = points.sparkSession
+    ship(spark)
     numbered = stage(points.withColumn("_point", F.monotonically_increasing_id()), "points")
     y, x = F.col(lat).cast("double"), F.col(lon).cast("double")
     infinite = F.lit(float("inf"))
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < infinite)
-    todo = numbered.select("_point", y.alias("_lat"), x.alias("_lon")).where(finite(F.col("_lat")) & finite(F.col("_lon")))
-    known = cells.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("lat").cast("double").alias("_y"), F.col("lon").cast("double").alias("_x")).where(finite(F.col("_y")) & finite(F.col("_x")))
-    cos = F.abs(F.cos(F.col("_lat") * F.lit(np.pi) / 180))
-    d_lat, d_lon = F.col("_y") - F.col("_lat"), (F.col("_x") - F.col("_lon")) * F.cos(F.col("_lat") * F.lit(np.pi) / 180)
-    squared = d_lat * d_lat + d_lon * d_lon
-    found = []
-    for width in TILE_DEGREES:
-        wide = F.least(F.lit(width) / F.greatest(cos, F.lit(1e-9)), F.lit(width * MOST_TILES))
-        rows = F.sequence(F.floor((F.col("_lat") - width) / width), F.floor((F.col("_lat") + width) / width))
-        columns = F.sequence(F.floor((F.col("_lon") - wide) / width), F.floor((F.col("_lon") + wide) / width))
-        tiled = known.withColumns({"_row": F.floor(F.col("_y") / width), "_column": F.floor(F.col("_x") / width)})
-        met = todo.withColumn("_row", F.explode(rows)).withColumn("_column", F.explode(columns)).join(tiled, ["_row", "_column"])
-        best = met.groupBy("_point").agg(F.min(F.struct(squared.alias("d"), F.col("_i").alias("i"), F.col("_j").alias("j"))).alias("_best"))
-        room = F.least(F.lit(width), wide * cos)
-        last = width == TILE_DEGREES[-1]
-        looked = stage(todo.join(best, "_point", "left").withColumn("_settled", F.lit(last) | F.coalesce(F.sqrt("_best.d") * (1 + 1e-9) + 1e-12 < room, F.lit(False))), "nearest")
-        found.append(looked.where("_settled").select("_point", "_best"))
-        todo = looked.where("not _settled").select("_point", "_lat", "_lon")
-        if last or todo.isEmpty():
-            break
-    out = numbered.join(reduce(DataFrame.unionByName, found), "_point", "left")
-    return out.select(*points.columns, F.coalesce("_best.i", F.lit(0)).alias("i"), F.coalesce("_best.j", F.lit(0)).alias("j"), F.coalesce(F.sqrt("_best.d") * KM_PER_DEGREE, infinite).alias("distance_km"))
+    asked = numbered.select("_point", y.alias("_y"), x.alias("_x")).where(finite(F.col("_y")) & finite(F.col("_x")))
+    known = cells.select(F.col("i").cast("long").alias("_i"), F.col("j").cast("long").alias("_j"), F.col("lat").cast("double").alias("_y"), F.col("lon").cast("double").alias("_x")).where(finite(F.col("_y")) & finite(F.col("_x")))
+    blocks = stage(_blocked(stage(known, "cells")), "blocks")
+    table = blocks.groupBy("_block").agg(F.min("_y").alias("y0"), F.max("_y").alias("y1"), F.min("_x").alias("x0"), F.max("_x").alias("x1")).toArrow().sort_by("_block")
+    kind = cells.schema
+    if not table.num_rows:
+        return numbered.select(*points.columns, F.lit(0).cast(kind["i"].dataType).alias("i"), F.lit(0).cast(kind["j"].dataType).alias("j"), infinite.alias("distance_km"))
+    sent = spark.sparkContext.broadcast(table)  # a row for each block
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        boxes = _Boxes(sent.value)
+        for batch in batches:
+            block = boxes.closest(*(batch.column(c).to_numpy() for c in ("_y", "_x")))
+            yield pa.RecordBatch.from_arrays([pa.array(block), *batch.columns], names=["_block", *batch.schema.names])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        boxes = _Boxes(sent.value)
+        for batch in batches:
+            looked = batch.column("_block").to_numpy()
+            for place, block in boxes.within(*(batch.column(c).to_numpy() for c in ("_y", "_x", "d"))):
+                new = block != looked[place]
+                chosen = batch.select(["_point", "_y", "_x"]).take(pa.array(place[new]))
+                yield pa.RecordBatch.from_arrays([pa.array(block[new]), *chosen.columns], names=["_block", "_point", "_y", "_x"])
+
+    routed = "_block bigint, _point bigint, _y double, _x double"
+    begun = stage(_met(blocks, asked.mapInArrow(first, routed)), "nearest")
+    ended = stage(_met(blocks, begun.select("_block", "_point", "_y", "_x", "d").mapInArrow(others, routed)), "nearest")
+    best = begun.union(ended).groupBy("_point").agg(F.min(F.struct("d", "i", "j")).alias("_best"))
+    out = numbered.join(best, "_point", "left")
+    return out.select(*points.columns, *(F.coalesce(F.col(f"_best.{c}").cast(kind[c].dataType), F.lit(0)).alias(c) for c in ("i", "j")), F.coalesce(F.sqrt("_best.d") * KM_PER_DEGREE, infinite).alias("distance_km"))
 
 
 def grid_cells(group: Group, lat_name: str = "lat", lon_name: str = "lon") -> DataFrame:

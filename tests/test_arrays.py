@@ -617,6 +617,56 @@ def test_a_large_curvilinear_grid(spark, monkeypatch):
     assert [(r.i, r.j) for r in small] == list(zip(a[:100].tolist(), b[:100].tolist(), strict=True))
 
 
+def most_rows(spark, done):
+    """The most rows that an operator has given in the queries after those done, by Spark's own metrics."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    executions, most = store.executionsList(), 0
+    for k in range(executions.size()):
+        if (execution := executions.apply(k)).executionId() > done:
+            values, metrics = store.executionMetrics(execution.executionId()), execution.metrics()
+            rows = [metrics.apply(m) for m in range(metrics.size())]
+            found = [values.get(m.accumulatorId()) for m in rows if m.name() == "number of output rows"]
+            most = max([most, *(int(v.get().replace(",", "")) for v in found if v.isDefined())])
+    return most
+
+
+def test_a_join_with_dense_cells_makes_few_rows(spark):
+    """Points among cells that lie close, and points far from all of them, don't meet every cell."""
+    n, rng = 200, np.random.default_rng(8)
+    i, j = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
+    grid = spatial.GridIndex.from_coordinates(10 + i * 1e-3, 20 + j * 1e-3, n, n)
+    lat, lon = np.append(rng.uniform(10, 10.2, 200), rng.uniform(10.3, 11, 50)), np.append(rng.uniform(20, 20.2, 200), rng.uniform(20.3, 21, 50))
+    table = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(lat, lon, strict=True))], "id long, lat double, lon double")
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    done = max([-1, *(store.executionsList().apply(k).executionId() for k in range(store.executionsList().size()))])
+    found = spatial.nearest_join(table, grid.to_df(spark)).orderBy("id").collect()
+    a, b, km = grid.nearest_of(lat, lon)
+    assert [(r.i, r.j) for r in found] == list(zip(a.tolist(), b.tolist(), strict=True)) and [r.distance_km for r in found] == pytest.approx(km.tolist())
+    assert n * n <= most_rows(spark, done) <= 2 * (n * n + len(lat))
+
+
+def test_ties_and_equal_places_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "BLOCK_CELLS", 16)
+    rng = np.random.default_rng(9)
+    lat, lon = rng.integers(-5, 6, 1500).astype(float), rng.integers(-5, 6, 1500).astype(float)
+    lat[:400], lon[:400] = 0.0, 0.0
+    lat[7::50] = np.nan
+    grid = spatial.GridIndex.from_coordinates(lat, lon, 30, 50)
+    points = [(a / 2, b / 2) for a in range(-14, 15, 3) for b in range(-14, 15)] + [(90.0, 3.0), (-90.0, 170.0), (400.0, 1.0), (None, 1.0), (1.0, float("inf"))]
+    table = spark.createDataFrame([(n, *p) for n, p in enumerate(points)], "id long, lat double, lon double")
+    for some in (table, table.limit(0)):
+        joined = spatial.nearest_join(some, grid.to_df(spark))
+        want = grid.nearest_many(some)
+        assert sorted(map(tuple, joined.select("id", "i", "j").collect())) == sorted(map(tuple, want.select("id", "i", "j").collect())) and joined.dtypes == want.dtypes
+    narrow = grid.to_df(spark).selectExpr("cast(i as int) as i", "cast(j as int) as j", "lat", "lon")
+    for cells in (narrow, narrow.where("lat > 1000")):
+        joined = spatial.nearest_join(table, cells)
+        assert joined.count() == len(points) and dict(joined.dtypes)["i"] == dict(joined.dtypes)["j"] == "int"
+    assert {(r.i, r.j, r.distance_km) for r in joined.collect()} == {(0, 0, float("inf"))}
+
+
 def test_grid_snapshots_and_keys(spark):
     grid = spatial.GridIndex.from_group(grid_group(spark))
     data = grid.to_bytes()
